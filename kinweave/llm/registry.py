@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .fingerprints import op1_fingerprints
 from .mixing import OP6_SQL, op6_mixing
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op6_mixing": op6_mixing,
 }
 ORACLES = {"op6_mixing": OP6_SQL}
