@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .fingerprints import op1_fingerprints
+from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP6_SQL, op6_mixing
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op6_mixing": op6_mixing,
+    "op10_line_dedup": op10_line_dedup,
 }
-ORACLES = {"op6_mixing": OP6_SQL}
+ORACLES = {"op6_mixing": OP6_SQL, "op10_line_dedup": OP10_SQL}
