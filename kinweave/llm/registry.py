@@ -5,9 +5,11 @@ from __future__ import annotations
 from .fingerprints import op1_fingerprints
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP6_SQL, op6_mixing
+from .token_files import op3_token_files
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op3_token_files": op3_token_files,
     "op6_mixing": op6_mixing,
     "op10_line_dedup": op10_line_dedup,
 }
