@@ -5,12 +5,14 @@ from __future__ import annotations
 from .fingerprints import op1_fingerprints
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP6_SQL, op6_mixing
+from .sentencepieces import op9_sentencepiece
 from .token_files import op3_token_files
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op3_token_files": op3_token_files,
     "op6_mixing": op6_mixing,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES = {"op6_mixing": OP6_SQL, "op10_line_dedup": OP10_SQL}
