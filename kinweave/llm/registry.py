@@ -7,6 +7,7 @@ from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP6_SQL, op6_mixing
 from .sentencepieces import op9_sentencepiece
 from .token_files import op3_token_files
+from .toxicity import op8_toxicity
 from .warc import op5_warc
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op5_warc": op5_warc,
     "op6_mixing": op6_mixing,
+    "op8_toxicity": op8_toxicity,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_line_dedup": op10_line_dedup,
 }
