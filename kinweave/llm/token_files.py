@@ -15,14 +15,16 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -159,39 +161,65 @@ class TokenFile:
 
 # Texts to ids.
 
-#: How a byte-level BPE tokenizer parts a text.
-PARTS = regex.compile(public_tokenizers.PATTERN)
-#: Texts of other characters go to the library whole: there, what counts as a letter or as white space may depend on Unicode versions.
-PLAIN = regex.compile(r"[^\x00-\x1b\x20-\x7e\xa0-ɏ]")
-CACHED = 300_000
+#: Texts of characters from here on go to the library whole: what counts there as a letter or as white space may depend on Unicode versions.
+LIMIT = 0x250
+#: So do texts with the information separators, which are white space to Python but not to the library.
+PLAIN = re.compile(f"[\x1c-\x1f\x7f-\x9f{chr(LIMIT)}-{chr(0x10FFFF)}]")
+CACHED = 600_000
+
+
+def _ranges(kind: str) -> str:
+    """A character class of those below LIMIT whose category begins with ``kind``."""
+    return "".join(re.escape(c) for c in map(chr, range(LIMIT)) if unicodedata.category(c)[0] == kind)
+
+
+#: How a byte-level BPE tokenizer parts a text, for characters below LIMIT.
+PARTS = re.compile(public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{_ranges('L')}{_ranges('N')}]").replace(r"\p{L}", f"[{_ranges('L')}]").replace(r"\p{N}", f"[{_ranges('N')}]"))
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class _Parts(dict):
+    """Ids of parts; those of a new part are looked up in the vocabulary when they are first asked for."""
+
+    def __init__(self, model):
+        super().__init__()
+        self._tokenize, self._letters = model.tokenize, _byte_letters()
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self[part] = array("I", [t.id for t in self._tokenize(part.encode().decode("latin-1").translate(self._letters))]).tobytes()
+        return ids
 
 
 class Encoder:
     """The tokenizers library behind a cache of parts: each distinct part of a plain text is encoded once.
 
     Byte-level BPE never merges across parts, so that a text's ids are its parts' ids in a row. A text with characters
-    beyond PLAIN, or with the string of an added token, is encoded whole.
+    that PLAIN finds, or with the string of an added token, is encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._lib, self._cache = Tokenizer.from_file(path), {}
+        self._lib = Tokenizer.from_file(path)
+        self._parts = _Parts(self._lib.model)
         self._added = [t.content for t in self._lib.get_added_tokens_decoder().values()]
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._lib.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return array("I", self._lib.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
-        parts = [None if PLAIN.search(t) or any(a in t for a in self._added) else PARTS.findall(t) for t in texts]
-        if len(self._cache) > CACHED:
-            self._cache.clear()
-        cache = self._cache
-        new = list({p for ps in parts if ps for p in ps if p not in cache})
-        cache.update(zip(new, self._whole(new), strict=True))
-        return [self._whole([t])[0] if ps is None else b"".join(map(cache.__getitem__, ps)) for t, ps in zip(texts, parts, strict=True)]
+        if len(self._parts) > CACHED:
+            self._parts.clear()
+        ids = self._parts.__getitem__
+        return [self._whole(t) if PLAIN.search(t) or any(a in t for a in self._added) else b"".join(map(ids, PARTS.findall(t))) for t in texts]
 
 
 _encoders: dict[str, Encoder] = {}
