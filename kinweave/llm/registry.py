@@ -5,6 +5,7 @@ from __future__ import annotations
 from .fingerprints import op1_fingerprints
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP6_SQL, op6_mixing
+from .ngram_join import op2_ngram_join
 from .quality import op4_quality
 from .sentencepieces import op9_sentencepiece
 from .token_files import op3_token_files
@@ -13,6 +14,7 @@ from .warc import op5_warc
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_ngram_join": op2_ngram_join,
     "op3_token_files": op3_token_files,
     "op4_quality": op4_quality,
     "op5_warc": op5_warc,
