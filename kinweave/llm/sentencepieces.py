@@ -28,7 +28,7 @@ from .common import table
 
 MARK = "▁"
 LONG = 64  # characters of a stretch from which on it gets a heap of its own
-CACHED = 200_000
+CACHED = 500_000
 NONE = np.int64(1 << 40)  # rank of a pair that doesn't merge
 
 
@@ -58,50 +58,79 @@ class MergeVocabulary:
                 a, b = (pieces.get(x) if len(x) > 1 else int(self.symbol[ord(x)]) for x in (p[:k], p[k:]))
                 if a is not None and b is not None:
                     merges[a << 21 | b] = (order[scores[i]], i)
-        self.keys = np.array(sorted(merges), np.int64)
-        self.ranks, self.merged = (np.array([merges[k][x] for k in self.keys.tolist()], np.int64) for x in (0, 1))
         self.merges = merges
+        self._table(merges)
         inside = {c for p in pieces if len(p) > 1 for c in p}
+        # Marks that no piece has after another kind of character: a stretch ends before them, and is met more often.
+        follow = {p[k] for p in pieces for k in range(1, len(p)) if p[k - 1] != p[k] and (p[k - 1].isalnum() or p[k - 1] == MARK)}
+        apart = "".join(re.escape(c) for c in "\n.,;:!?*%$#&|" if c not in follow or c not in inside)
         if any(MARK in p.lstrip(MARK) for p in pieces):
             self.stretch = re.compile(r"(?s).+")
-        elif "\n" in inside:
+        elif not apart:
             self.stretch = re.compile(rf"{MARK}+[^{MARK}]*|[^{MARK}]+")
         else:
-            self.stretch = re.compile(rf"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
-        self.cache: dict[str, tuple[list[int], str]] = {}
+            # Only letters and digits come before such an end, so that no merge reaches over it.
+            self.stretch = re.compile(rf"{MARK}*[^\W_]+(?=[{apart}])|{MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.cache: dict[str, list[int]] = {}
+        self.decimal = [f"{i} " for i in range(n)]
+
+    def _table(self, merges: dict) -> None:
+        """The merges as an open-addressing hash table, looked up for many pairs at once."""
+        bits = max(8, (4 * len(merges)).bit_length())
+        self._shift = np.uint64(64 - bits)
+        self._slots, self._ranks, self._merged = np.full((1 << bits) + 64, -1, np.int64), np.full((1 << bits) + 64, NONE), np.zeros((1 << bits) + 64, np.int64)
+        self._reach = 0
+        for key, (rank, piece) in merges.items():
+            at = home = int(self._home(np.array([key]))[0])
+            while self._slots[at] >= 0:
+                at += 1
+            self._slots[at], self._ranks[at], self._merged[at] = key, rank, piece
+            self._reach = max(self._reach, at - home)
+
+    def _home(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self._shift).astype(np.int64)
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged piece of pairs of symbols."""
-        key = left << 21 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[at] == key
-        return np.where(hit, self.ranks[at], NONE), self.merged[at]
-
-    def _rows(self, texts: list[str]) -> list[np.ndarray]:
-        """Symbols left of texts of one length; every round pops the best pair of each row."""
+        key = (left << 21 | right).ravel()
+        at = self._home(key)
+        found = self._slots[at]
+        miss = np.flatnonzero((found != key) & (found >= 0))
+        for _ in range(self._reach):
+            if not len(miss):
+                break
+            at[miss] += 1
+            found[miss] = self._slots[at[miss]]
+            miss = miss[(found[miss] != key[miss]) & (found[miss] >= 0)]
+        ranks = np.where(found == key, self._ranks[at], NONE)
+        return ranks.reshape(left.shape), self._merged[at].reshape(left.shape)
+
+    def _rows(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts of one length; every round pops the best pair of each row's agenda."""
         symbols = self.symbol[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)].reshape(len(texts), -1)
         out: list = [None] * len(texts)
         rows = np.arange(len(texts))
         ranks, to = self._pairs(symbols[:, :-1], symbols[:, 1:])
         while len(rows):
-            if not ranks.shape[1]:
-                best, done = None, np.ones(len(rows), bool)
-            else:
-                best = ranks.argmin(1)
-                done = ranks[np.arange(len(rows)), best] == NONE
-            for k in np.flatnonzero(done):
-                out[rows[k]] = symbols[k]
-            if best is None or done.all():
-                break
-            go = ~done
-            rows, symbols, ranks, to, best = rows[go], symbols[go], ranks[go], to[go], best[go]
-            each, wide = np.arange(len(rows)), symbols.shape[1]
+            wide = symbols.shape[1]
+            best = ranks.argmin(1) if wide > 1 else None
+            done = ranks[np.arange(len(rows)), best] == NONE if wide > 1 else np.ones(len(rows), bool)
+            if done.any():
+                ends, known = symbols[done], (symbols[done] < self.size).all(1)
+                for r, s, k in zip(rows[done].tolist(), ends.tolist(), known.tolist(), strict=True):
+                    out[r] = s if k else self._ids(s)
+                if done.all():
+                    break
+                go = ~done
+                rows, symbols, ranks, to, best = rows[go], symbols[go], ranks[go], to[go], best[go]
+            each = np.arange(len(rows))
             symbols[each, best] = to[each, best]
-            columns = np.arange(wide - 1)
-            symbols = np.take_along_axis(symbols, columns + (columns > best[:, None]), 1)
-            columns = columns[:-1]
-            keep = columns + (columns >= best[:, None])
-            ranks, to = np.take_along_axis(ranks, keep, 1), np.take_along_axis(to, keep, 1)
+            stay = np.ones(symbols.shape, bool)
+            stay[each, best + 1] = False
+            symbols = symbols[stay].reshape(len(rows), wide - 1)
+            stay = np.ones(ranks.shape, bool)
+            stay[each, best] = False
+            ranks, to = ranks[stay].reshape(len(rows), wide - 2), to[stay].reshape(len(rows), wide - 2)
             for side, has in ((best - 1, best > 0), (best, best < wide - 2)):
                 r, c = each[has], side[has]
                 ranks[r, c], to[r, c] = self._pairs(symbols[r, c], symbols[r, c + 1])
@@ -136,27 +165,21 @@ class MergeVocabulary:
             return symbols
         return [x for s in symbols for x in ([s] if s < self.size else [self.bytes[b] for b in chr(s - self.size).encode()] if self.bytes else [self.lib.unk_id()])]
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
-        """The ids of each text, without an end id, and the same in decimal, each number followed by a blank."""
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text, without an end id."""
         if len(self.cache) > CACHED:
             self.cache.clear()
         parts = [self.stretch.findall(self.lib.normalize(t)) for t in texts]
-        by_length = defaultdict(set)
-        for p in set(chain.from_iterable(parts)):
-            if p not in self.cache:
-                by_length[len(p) if len(p) < LONG else LONG].add(p)
-        long = {}
+        by_length, long = defaultdict(list), {}
+        for p in set().union(*parts).difference(self.cache):
+            by_length[min(len(p), LONG)].append(p)
         for n, new in by_length.items():
-            new = sorted(new)
-            for p, symbols in zip(new, map(self._heap, new) if n == LONG else (x.tolist() for x in self._rows(new)), strict=True):
-                ids = self._ids(symbols)
-                (long if n == LONG else self.cache)[p] = (ids, "".join([f"{i} " for i in ids]))
+            if n == LONG:
+                long = {p: self._ids(self._heap(p)) for p in new}
+            else:
+                self.cache.update(zip(new, self._rows(new), strict=True))
         get = self.cache.__getitem__ if not long else lambda p: long[p] if len(p) >= LONG else self.cache[p]
-        out = []
-        for ps in parts:
-            found = list(map(get, ps))
-            out.append((list(chain.from_iterable([f[0] for f in found])), "".join([f[1] for f in found])))
-        return out
+        return [list(chain.from_iterable(map(get, ps))) for ps in parts]
 
 
 _vocabularies: dict[str, MergeVocabulary] = {}
@@ -180,19 +203,19 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
-        end = str(v.end)
         for batch in batches:
             for k in range(0, batch.num_rows, BATCH):
                 some = batch.slice(k, BATCH)
                 texts = [t or "" for t in some.column(1).to_pylist()]
-                own = v.encode(texts)
-                ids = [x + [v.end] for x, _ in own]
+                ids = v.encode(texts)
+                for x in ids:
+                    x.append(v.end)
                 theirs = v.lib.encode(texts, add_bos=False, add_eos=True, num_threads=1)
                 if ids != theirs:
                     bad = next(i for i, (a, b) in enumerate(zip(ids, theirs, strict=True)) if a != b)
                     raise ValueError(f"ids differ from the library's for row {some.column(0)[bad]}")
                 decoded = v.lib.decode(ids, num_threads=1)
-                digest = [hashlib.sha256((x + end).encode()).hexdigest() for _, x in own]
+                digest = [hashlib.sha256("".join(map(v.decimal.__getitem__, x))[:-1].encode()).hexdigest() for x in ids]
                 out = [some.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array(digest), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded])]
                 yield pa.RecordBatch.from_arrays([*out, pa.array(ids if with_ids else [None] * len(ids), pa.list_(pa.int32()))], ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
