@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .fingerprints import op1_fingerprints
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .lm import op7_lm_scoring
 from .mixing import OP6_SQL, op6_mixing
 from .ngram_join import op2_ngram_join
 from .quality import op4_quality
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_warc": op5_warc,
     "op6_mixing": op6_mixing,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_toxicity": op8_toxicity,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_line_dedup": op10_line_dedup,
