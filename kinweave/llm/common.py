@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
 
 _own_dirs: dict[str, str] = {}
-_scratch: list[str] = []
+scratch_folders: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared folder."""
     path = f"{shared_dir(spark)}/kinweave/{name}-{uuid.uuid4().hex}"
-    _scratch.append(path)
+    scratch_folders.append(path)
     return path
 
 
@@ -53,11 +53,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete every scratch folder made so far; call it only when all results built on them are written."""
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders, once all results built on them are written."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
 
 
