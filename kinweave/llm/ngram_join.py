@@ -374,7 +374,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = partitions(docs.sparkSession)
     table_ = stored(indexed_sets(shared_grams(pack_sets(docs, id_col, text_col, 2 * parts), parts)), "ngram-sets")
     alive = table_.where("key is not null")
-    classes = alive.groupBy("key").agg(F.min("id").alias("class"))
+    # Written first, so that the joins below shuffle both sides, and Spark can split the rows of a frequent class.
+    classes = stored(alive.groupBy("key").agg(F.min("id").alias("class")), "ngram-keys")
     sets = stored(alive.join(classes, "key").where("id = class").select("id", "n", "first_places", "grams"), "ngram-classes")
     postings = sets.select("id", "n", F.size("grams").alias("known"), F.posexplode(F.slice("grams", F.lit(1), F.col("first_places").cast("int"))).alias("pos", "gram"))
     # Places are counted from the end: how many n-grams follow.
