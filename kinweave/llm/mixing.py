@@ -84,7 +84,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = stored(targets(sized, weights, share, cap), "mix-targets")
     total, most_rows = plan.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.max("source_rows"), F.lit(0))).first()
     block = min(block, max(1, total // 16384))
-    bits = min(BUCKETS.bit_length() - 1, max(0, (most_rows // 2048).bit_length()))
+    bits = min(BUCKETS.bit_length() - 1, max(0, (most_rows // 256).bit_length()))
 
     whole = F.expr("if(source_size > 0, cast(floor(target / source_size) as bigint), 0)")
     plan = plan.withColumn("goal", F.floor("target")).withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("turns", F.least(whole, F.expr("if(source_size > 0, goal div source_size, 0)")))
