@@ -28,7 +28,7 @@ from .common import partitions, stored, table
 WORDS = 5
 #: Two sets are like if SHARE[1] * intersection >= SHARE[0] * union.
 SHARE = (4, 5)
-CHUNK = 2_000_000  # words packed together
+CHUNK = 1_200_000  # words packed together
 BLOCK = 256  # sets in a block around one document
 NO_ID = -(1 << 63)
 KEEP_BITS = 44
@@ -372,7 +372,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     not read. An empty table gives no rows.
     """
     parts = partitions(docs.sparkSession)
-    table_ = stored(indexed_sets(shared_grams(pack_sets(docs, id_col, text_col, 2 * parts), parts)), "ngram-sets")
+    table_ = stored(indexed_sets(shared_grams(pack_sets(docs, id_col, text_col, 3 * parts), parts)), "ngram-sets")
     alive = table_.where("key is not null")
     # Written first, so that the joins below shuffle both sides, and Spark can split the rows of a frequent class.
     classes = stored(alive.groupBy("key").agg(F.min("id").alias("class")), "ngram-keys")
