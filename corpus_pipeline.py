@@ -44,6 +44,7 @@ def _stage(work: Stage) -> Stage:
 @_stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below 0.5. Null and empty texts stay."""
+    docs = docs.select(*COLUMNS)
     model = fit_toxicity(docs, common.table(spark, sf_dir, "labels"))
     return score_toxicity(docs, model, score_col="__toxicity").where("__toxicity < 0.5").select(*COLUMNS)
 
@@ -58,16 +59,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group; rows that share an id are one document, of which the least text stays."""
-    first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")).distinct()
-    rows = docs.join(first, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    docs = docs.select(*COLUMNS)
+    first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    rows = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     return rows.withColumn("__row", F.row_number().over(W.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars"))).where("__row = 1").select(*COLUMNS)
 
 
 @_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, to the nearest whole number: 0, 1 or 2 times."""
-    taken = mix(docs).where("size > 0").select(F.col("doc_id").alias("id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("id")))
+    docs = docs.select(*COLUMNS)
+    taken = mix(docs).where("size > 0").select(F.col("doc_id").alias("__id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
+    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
     return rows.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 

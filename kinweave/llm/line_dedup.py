@@ -69,7 +69,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A run of lines is a later copy if the same lines, ``min_words`` words of them at least, stand earlier: by id, nulls
     first, then text hash, then line. The first copy of a line always stays. Lines are what \\n parts; lines without a
-    word match nothing, and go where they lie inside a deleted run. Rows with equal id and text count as one document
+    word match nothing, and go where they lie inside a least stretch that goes. Rows with equal id and text count as one document
     and come out alike. A null text stays null (line_count 0), an empty text is one line without a word; a text all of
     whose lines go is empty. Columns of the same names as those added are replaced.
     """

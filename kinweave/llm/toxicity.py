@@ -1,7 +1,7 @@
 """Toxicity by compression distance between two zstandard dictionaries.
 
 Two dictionaries are made from labelled texts: one of what is peculiar to toxic texts, one of what is peculiar to
-ordinary texts; both end with a dictionary trained on texts of both kinds. Each window of a text is compressed with
+ordinary texts; both end with a dictionary trained on ordinary texts. Each window of a text is compressed with
 either; where it is shorter with the toxic dictionary, it says what toxic texts say. A window is preceded by a stretch
 that both dictionaries hold, so that it is always stored compressed and single matches show in its length. The lengths'
 differences over a text's windows give a few numbers, and a logistic curve, fitted on the labelled texts, calibrates
@@ -141,11 +141,11 @@ def fit(toxic: list[str], ordinary: list[str]) -> Distance:
     counts = [_text_counts(k) for k in kinds]
     n, m = len(toxic), len(ordinary)
     model.toxic, model.ordinary = _peculiar(kinds[0], counts[0], n, counts[1], m), _peculiar(kinds[1], counts[1], m, counts[0], n)
-    both = [t.lower().encode() for t in toxic[:700] + ordinary[:700]]
+    usual = [t.lower().encode() for t in ordinary[:1400]]
     try:
-        model.common = zstandard.train_dictionary(COMMON_BYTES, both, level=3).as_bytes()
+        model.common = zstandard.train_dictionary(COMMON_BYTES, usual, level=3).as_bytes()
     except zstandard.ZstdError:  # too few texts
-        model.common = b" ".join(both)[:COMMON_BYTES]
+        model.common = b" ".join(usual)[:COMMON_BYTES]
     x = np.array([model.features(t) for t in toxic + ordinary], float)
     y = np.array([1.0] * n + [0.0] * m)
     mean, scale = x.mean(0), x.std(0) + 1e-9
