@@ -43,20 +43,31 @@ def vectors(tokens: DataFrame, table: DataFrame, unseen: float) -> DataFrame:
     return raw.join(norm, F.col("id") == F.col("of")).select("id", "token", (F.col("w") / F.col("norm")).alias("w"))
 
 
+SLACK = 0.8  # share of the floor that the tokens outside a prefix may reach
+
+
 def prefixes(ent: DataFrame, df: DataFrame, floor: float) -> DataFrame:
-    """Of each entity's tokens, rare ones first, so many that the rest can't reach the floor by itself: any record with that cosine shares one of them."""
-    rest = W.partitionBy("id").orderBy(F.col("df").desc(), F.col("token").desc()).rowsBetween(W.unboundedPreceding, 0)
+    """Adds to (id, token, w): seed, whether the token is in the prefix, and rest, the norm of those that are not.
+
+    A prefix takes an entity's tokens, rare ones first, until the rest has a norm below SLACK times the floor. A record
+    with that cosine then shares so much of the prefix that, with the rest's norm, it reaches the floor.
+    """
+    whole = W.partitionBy("id")
+    frequent_first = whole.orderBy(F.col("df").desc(), F.col("token").desc()).rowsBetween(W.unboundedPreceding, 0)
     ranked = ent.join(df.select("token", "df"), "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    return ranked.withColumn("upto", F.sum(F.col("w") * F.col("w")).over(rest)).where(F.col("upto") >= (floor - 1e-9) ** 2).select("id", "token")
+    ranked = ranked.withColumn("upto", F.sum(F.col("w") * F.col("w")).over(frequent_first)).withColumn("seed", F.col("upto") >= (SLACK * floor) ** 2)
+    return ranked.withColumn("rest", F.sqrt(F.coalesce(F.max(F.when(~F.col("seed"), F.col("upto"))).over(whole), F.lit(0.0)))).select("id", "token", "w", "seed", "rest")
 
 
 def cosine_pairs(ent: DataFrame, rec: DataFrame, df: DataFrame, floor: float) -> DataFrame:
-    """(e, r, s): all pairs with cosine of at least the floor, exactly. Pairs come from prefixes; only those are scored in full."""
-    seeds = prefixes(ent, df, floor).select(F.col("id").alias("e"), "token")
-    pairs = seeds.join(rec.select(F.col("id").alias("r"), "token"), "token").select("e", "r").distinct()
-    left = pairs.join(ent.select(F.col("id").alias("e"), "token", F.col("w").alias("we")), "e")
-    both = left.join(rec.select(F.col("id").alias("r"), "token", F.col("w").alias("wr")), ["r", "token"])
-    return both.groupBy("e", "r").agg(F.round(F.sum(F.col("we") * F.col("wr")), DIGITS).alias("s")).where(F.col("s") >= floor)
+    """(e, r, s): all pairs with cosine of at least the floor, exactly. Prefixes give partial sums; only pairs that can still reach the floor get the rest."""
+    parted = prefixes(ent, df, floor).select(F.col("id").alias("e"), "token", F.col("w").alias("we"), "seed", "rest")
+    rec = rec.select(F.col("id").alias("r"), "token", F.col("w").alias("wr"))
+    part = parted.where("seed").join(rec, "token").groupBy("e", "r").agg(F.sum(F.col("we") * F.col("wr")).alias("p"), F.max("rest").alias("rest"))
+    part = part.where(F.col("p") + F.col("rest") >= floor - 1e-5).select("e", "r", "p")
+    more = part.select("e", "r").join(parted.where(~F.col("seed")), "e").join(rec, ["r", "token"]).groupBy("e", "r").agg(F.sum(F.col("we") * F.col("wr")).alias("q"))
+    whole = part.join(more, ["e", "r"], "left").select("e", "r", F.round(F.col("p") + F.coalesce("q", F.lit(0.0)), DIGITS).alias("s"))
+    return whole.where(F.col("s") >= floor)
 
 
 def top_k(scored: DataFrame, k: int, tie_cap: int = 0, tolerance: float = 1e-6) -> DataFrame:
