@@ -319,7 +319,7 @@ def exact_channel(v: Views) -> DataFrame:
     return R.exact_channel(ent, part.select(F.col("p_partkey").alias("r"), F.col("p_name").alias("key")), "key", 40)
 
 
-WORD_FLOOR, GRAM_FLOOR = 0.5, 0.3
+WORD_FLOOR, GRAM_FLOOR = 0.5, 0.6
 
 
 def _word_cosines(v: Views) -> DataFrame:
@@ -498,7 +498,7 @@ for _name, _kernel_name in (("lcs_ratio", "ratio"), ("token_sort_ratio", "token_
     query(name=_name)(_kernel(_kernel_name))
 
 
-_IDF_PAIRS = f"""{V.GRAM_SPACE.replace(V.GRAM_TOKENS, V.WORD_TOKENS)}, {V.cosines(0.05)}, pt AS (SELECT DISTINCT e, r, id, token, side FROM (SELECT cos.e, cos.r, et.id, token, 'x' AS side FROM cos JOIN et ON et.id = cos.e UNION ALL SELECT cos.e, cos.r, rt.id, token, 'y' FROM cos JOIN rt ON rt.id = cos.r)),
+_IDF_PAIRS = f"""{V.GRAM_SPACE.replace(V.GRAM_TOKENS, V.WORD_TOKENS)}, {V.cosines(0.3)}, pt AS (SELECT DISTINCT e, r, id, token, side FROM (SELECT cos.e, cos.r, et.id, token, 'x' AS side FROM cos JOIN et ON et.id = cos.e UNION ALL SELECT cos.e, cos.r, rt.id, token, 'y' FROM cos JOIN rt ON rt.id = cos.r)),
 tk AS (SELECT e, r, token, bool_or(side = 'x') AS ix, bool_or(side = 'y') AS iy FROM pt GROUP BY e, r, token), w AS (SELECT tk.*, coalesce(idf, ln(1.0::DOUBLE + n) + 1) AS w, idf IS NULL AS unseen FROM tk LEFT JOIN idft USING (token), n)"""
 
 
@@ -508,7 +508,7 @@ round(sum(CASE WHEN ix AND iy THEN w ELSE 0 END) / sum(w), 6) AS weighted_jaccar
 def idf_pair_features(v: Views) -> DataFrame:
     items, turns = v.items(), v.turns()
     ew, rw, table = v._space(items, turns, T.words)
-    pairs = R.cosine_pairs(ew, rw, table, 0.05).select("e", "r").join(items.select("e", F.col("name").alias("x")), "e").join(turns.select("r", F.col("name").alias("y")), "r")
+    pairs = R.cosine_pairs(ew, rw, table, 0.3).select("e", "r").join(items.select("e", F.col("name").alias("x")), "e").join(turns.select("r", F.col("name").alias("y")), "r")
     n = items.count()
     return features.idf_features(pairs, "x", "y", table, R.unseen_idf(table, n), 3.0).drop("x", "y")
 
