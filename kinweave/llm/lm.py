@@ -1,11 +1,10 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
 The model has orders 1 to 3 with interpolated absolute discounting: p(w|h) = max(c(hw) - D, 0) / c(h) + g(h) p(w|h'),
-where n-grams seen once are left out, g(h) is the mass that the kept ones leave, and the unigram distribution adds 0.1 to
-each count. Tokens are words and an end after each text; the end also stands before each text's first word.
+over all n-grams, also those seen once; g(h) is the mass that they leave, and the unigram distribution adds 0.1 to each
+count. Tokens are words and an end after each text; the end also stands before each text's first word.
 
-Vocabulary: words are 64-bit hashes, sorted, in files by ranges of hashes, with counts; those seen twice or more are
-numbered in that order. N-grams lie in shards by the hash of their first two words. A shard has three levels: first
+Vocabulary: words are 64-bit hashes, sorted, in files by ranges of hashes, with counts; they are numbered in that order. N-grams lie in shards by the hash of their first two words. A shard has three levels: first
 words; pairs; triples. On a level, the successors of context number k are stored as k * (vocabulary size) + word, one
 monotone sequence over all contexts, in Elias-Fano form: low bits packed, high bits in unary with a directory of counts.
 So the pointers from contexts to their successors are monotone and implied by the high bits, and a lookup searches for
@@ -32,7 +31,6 @@ from .ngram_join import PACKED, _batch, _deal, _mix, unpack
 
 DISCOUNT = 0.75
 ADDED = 0.1
-LEAST = 2  # times an n-gram of order 2 or 3 is seen, and each of its words
 CHUNK_BYTES = 10_000_000  # of text handled together
 END = 0x1D8E4E27C47D124F  # stands for the end among hashes
 FLOOR = -10.0  # log10 of the least mass that a byte stands for
@@ -226,7 +224,7 @@ class Vocabulary:
             hit = f.hashes[at] == h[a:b]
             c = np.where(hit, f.counts[at], 0).astype(np.int64)
             count[a:b] = c
-            number[a:b] = np.where(c >= LEAST, self.bases[k] + f.ranks[at], -1)
+            number[a:b] = np.where(hit, self.bases[k] + at, -1)
         return count[place], number[place]
 
     def counts_of(self, numbers: np.ndarray) -> np.ndarray:
@@ -235,7 +233,7 @@ class Vocabulary:
         part = np.searchsorted(self.bases, numbers, "right") - 1
         for k in np.unique(part):
             at = part == k
-            out[at] = self.part(k).kept[numbers[at] - self.bases[k]]
+            out[at] = self.part(k).counts[numbers[at] - self.bases[k]]
         return out
 
 
@@ -313,11 +311,11 @@ def _shard(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         return (_mix(a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
 
 
-FILE = "part int, path string, words long, kept long, tokens long"
+FILE = "part int, path string, words long, tokens long"
 
 
 def _one(**row) -> pa.Table:
-    return pa.Table.from_pydict({k: [v] for k, v in row.items()}, pa.schema([("part", pa.int32()), ("path", pa.string()), ("words", pa.int64()), ("kept", pa.int64()), ("tokens", pa.int64())]))
+    return pa.Table.from_pydict({k: [v] for k, v in row.items()}, pa.schema([("part", pa.int32()), ("path", pa.string()), ("words", pa.int64()), ("tokens", pa.int64())]))
 
 
 def count_words(docs: DataFrame, out_dir: str, parts: int) -> DataFrame:
@@ -332,16 +330,15 @@ def count_words(docs: DataFrame, out_dir: str, parts: int) -> DataFrame:
         k, some = key[0].as_py(), [unpack(d, 2) for d in rows.column("data").to_pylist()]
         h, place = np.unique(np.concatenate([s[0] for s in some]).view(np.uint64), return_inverse=True)
         n = np.bincount(place, weights=np.concatenate([s[1] for s in some])).astype(np.int64)
-        keep = n >= LEAST
         path = f"{out_dir}/words-{k:06d}-{TaskContext.get().taskAttemptId()}.bin"
-        put(path, arrays_bytes({"hashes": h, "counts": n.astype(np.uint64), "ranks": (keep.cumsum() - 1).astype(np.int64), "kept": n[keep].astype(np.uint64)}))
-        return _one(part=k, path=path, words=len(h), kept=int(keep.sum()), tokens=int(n.sum()))
+        put(path, arrays_bytes({"hashes": h, "counts": n.astype(np.uint64)}))
+        return _one(part=k, path=path, words=len(h), tokens=int(n.sum()))
 
     return stored(docs.mapInArrow(count, PACKED).groupBy("bucket").applyInArrow(write, FILE), "lm-words")
 
 
 def count_ngrams(docs: DataFrame, vocabulary: Vocabulary, shards: int) -> DataFrame:
-    """Pairs of numbered words with the word after them (size: none or unnumbered), and counts, packed by shard."""
+    """Pairs of words with the word after them (size: none), and counts, packed by shard."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, end = vocabulary.look(np.array([END], np.uint64))
@@ -379,14 +376,13 @@ def write_shards(grams: DataFrame, vocabulary: Vocabulary, out_dir: str) -> Data
         heads = np.flatnonzero(new_pair[at])
         pair = np.cumsum(new_pair[at]) - 1
         pair_n = np.add.reduceat(n, heads)
-        keep = pair_n >= LEAST
-        pa_, pb = a[heads][keep], b[heads][keep]
-        # Level 0: first words; level 1: pairs; level 2: triples of kept pairs.
+        pa_, pb = a[heads], b[heads]
+        # Level 0: first words; level 1: pairs; level 2: triples.
         first, context = np.unique(pa_, return_inverse=True)
-        mass = (pair_n[keep] - DISCOUNT) / vocabulary.counts_of(pa_)
-        leaf = (n >= LEAST) & (c < size) & keep[pair]
-        node = (np.cumsum(keep) - 1)[pair[leaf]]
-        leaf_mass = quantise((n[leaf] - DISCOUNT) / pair_n[pair[leaf]])
+        mass = (pair_n - DISCOUNT) / vocabulary.counts_of(pa_)
+        leaf = c < size
+        node = pair[leaf]
+        leaf_mass = quantise((n[leaf] - DISCOUNT) / pair_n[node])
         left = 1 - np.bincount(node, weights=MASS[leaf_mass], minlength=len(pa_))
         arrays, bits = {}, []
         for k, (values, universe) in enumerate(((first, size), (context * size + pb, len(first) * size), (node * size + c[leaf], len(pa_) * size))):
@@ -410,11 +406,11 @@ def write_left(used: DataFrame, vocabulary: Vocabulary, out_dir: str) -> DataFra
     def write(key: tuple, rows: pa.Table) -> pa.Table:
         k, some = key[0].as_py(), [unpack(d, 2) for d in rows.column("data").to_pylist()]
         number, mass = np.concatenate([s[0] for s in some]), np.concatenate([s[1] for s in some]).view(np.float64)
-        kept = len(vocabulary.part(k).kept)
-        left = 1 - np.bincount(number - vocabulary.bases[k], weights=mass, minlength=kept)
+        words = len(vocabulary.part(k).counts)
+        left = 1 - np.bincount(number - vocabulary.bases[k], weights=mass, minlength=words)
         path = f"{out_dir}/left-{k:06d}-{TaskContext.get().taskAttemptId()}.bin"
         put(path, arrays_bytes({"left": quantise(np.maximum(left, 1e-9))}))
-        return _one(part=k, path=path, words=0, kept=kept, tokens=0)
+        return _one(part=k, path=path, words=words, tokens=0)
 
     return stored(used.groupBy("bucket").applyInArrow(write, FILE), "lm-left")
 
@@ -424,12 +420,12 @@ def fit_lm(docs: DataFrame, out_dir: str, text_col: str = "text") -> Model:
     parts = partitions(docs.sparkSession)
     rows = docs.select(F.lit(0).cast("long").alias("id"), F.lit(False).alias("flag"), F.col(text_col).alias("text"))
     files = {r["part"]: r for r in count_words(rows, out_dir, parts).collect()}
-    kept = [files[k]["kept"] if k in files else 0 for k in range(parts)]
-    vocabulary = Vocabulary([files[k]["path"] if k in files else None for k in range(parts)], np.concatenate([[0], np.cumsum(kept)[:-1]]).tolist(), max(1, sum(kept)))
+    words = [files[k]["words"] if k in files else 0 for k in range(parts)]
+    vocabulary = Vocabulary([files[k]["path"] if k in files else None for k in range(parts)], np.concatenate([[0], np.cumsum(words)[:-1]]).tolist(), max(1, sum(words)))
     made = write_shards(count_ngrams(rows, vocabulary, parts), vocabulary, out_dir)
     shards = {r["bucket"]: bytes(r["data"]).decode() for r in made.where("kind = 0").collect()}
     left = {r["part"]: r["path"] for r in write_left(made.where("kind = 1"), vocabulary, out_dir).collect()}
-    return Model(vocabulary, sum(r["tokens"] for r in files.values()), sum(r["words"] for r in files.values()), [left.get(k) for k in range(parts)], [shards.get(k) for k in range(parts)])
+    return Model(vocabulary, sum(r["tokens"] for r in files.values()), sum(words), [left.get(k) for k in range(parts)], [shards.get(k) for k in range(parts)])
 
 
 SCORES = "id long, flag boolean, n_tokens long, n_known long, base_score double, score double"

@@ -371,6 +371,37 @@ def test_op7_is_a_plain_model(spark, real):
         assert abs(r["score"] - score) <= 0.06 * n  # bytes for masses
 
 
+def whole_model(rows):
+    """{id: (held out, tokens, log10 probability)}, by dictionaries of all n-grams."""
+    text = [(i, [*brute.WORD.findall(brute.lower(t)), None]) for i, t in rows]
+    learn = [w for i, w in text if not brute.held_out(i, 10)]
+    c1 = collections.Counter(x for w in learn for x in w)
+    c2 = collections.Counter(p for w in learn for p in zip([None, *w], w))
+    c3 = collections.Counter(p for w in learn for p in zip([None, *w], w, w[1:]))
+    total, distinct = sum(c1.values()), len(c1)
+    types1, types2 = collections.Counter(a for a, _ in c2), collections.Counter((a, b) for a, b, _ in c3)
+    out = {}
+    for i, w in text:
+        score = 0.0
+        for k, x in enumerate(w):
+            a, h = w[k - 1] if k else None, (w[k - 2] if k > 1 else None, w[k - 1] if k else None)
+            p = (c1[x] + 0.1) / (total + 0.1 * (distinct + 1))
+            if c1[a]:
+                p = max(c2[a, x] - 0.75, 0) / c1[a] + 0.75 * types1[a] / c1[a] * p
+            if k and c2[h]:
+                p = max(c3[*h, x] - 0.75, 0) / c2[h] + 0.75 * types2[h] / c2[h] * p
+            score += math.log10(p)
+        out[i] = brute.held_out(i, 10), len(w), score
+    return out
+
+
+def test_op7_keeps_every_ngram(spark, real):
+    expected = whole_model([(r["doc_id"], r["text"]) for r in real.collect()])
+    got = {r["doc_id"]: r["score"] for r in lm.op7_lm_scoring(spark, SF).collect()}
+    for i, (_, n, score) in expected.items():
+        assert abs(got[i] - score) <= 0.06 * n  # bytes for masses
+
+
 def test_op7_odd_rows(spark, docs, empty, tmp_path):
     rows = docs.select(F.col("doc_id").alias("id"), F.lit(False).alias("flag"), "text")
     model = lm.fit_lm(rows, f"file://{tmp_path}/lm")
