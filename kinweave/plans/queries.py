@@ -319,12 +319,13 @@ def exact_channel(v: Views) -> DataFrame:
     return R.exact_channel(ent, part.select(F.col("p_partkey").alias("r"), F.col("p_name").alias("key")), "key", 40)
 
 
-WORD_FLOOR, GRAM_FLOOR = 0.5, 0.6
+WORD_FLOOR, GRAM_FLOOR, PAIR_FLOOR = 0.4, 0.4, 0.05
+SWEEP_KS, SWEEP_FLOORS = [1, 5, 10, 20], [0.2, 0.3, 0.4, 0.5, 0.7, 0.9]
 
 
-def _word_cosines(v: Views) -> DataFrame:
+def _word_cosines(v: Views, floor: float = WORD_FLOOR) -> DataFrame:
     ew, rw, table = v.word_space()
-    return R.cosine_pairs(ew, rw, table, WORD_FLOOR)
+    return R.cosine_pairs(ew, rw, table, floor)
 
 
 def _gram_cosines(v: Views) -> DataFrame:
@@ -423,10 +424,10 @@ def candidate_set_symdiff(v: Views) -> DataFrame:
     return R.symmetric_difference(cand.where("hit_exact = 1"), cand.where("hit_word = 1"))
 
 
-@query(f"""WITH {V.WORD_SPACE}, {V.cosines(WORD_FLOOR)}, {V.TRUTH}, t AS (SELECT *, {TOP} AS rank FROM cos), g AS (SELECT * FROM (VALUES (1), (5), (20)) a(k), (VALUES (0.5::DOUBLE), (0.7::DOUBLE), (0.9::DOUBLE)) b(floor))
+@query(f"""WITH {V.WORD_SPACE}, {V.cosines(min(SWEEP_FLOORS))}, {V.TRUTH}, t AS (SELECT *, {TOP} AS rank FROM cos), g AS (SELECT * FROM (VALUES {', '.join(f'({k})' for k in SWEEP_KS)}) a(k), (VALUES {', '.join(f'({x}::DOUBLE)' for x in SWEEP_FLOORS)}) b(floor))
 SELECT k, floor, round(count(truth.e) / (SELECT count(*) FROM truth)::DOUBLE, 6) AS recall, count(*) AS candidates FROM t JOIN g ON rank <= k AND s >= floor LEFT JOIN truth ON t.e = truth.e AND t.r = truth.r GROUP BY k, floor""")
 def retrieval_sweep(v: Views) -> DataFrame:
-    return R.sweep(R.top_k(_word_cosines(v), 20), v.truth(), [1, 5, 20], [0.5, 0.7, 0.9])
+    return R.sweep(R.top_k(_word_cosines(v, min(SWEEP_FLOORS)), max(SWEEP_KS)), v.truth(), SWEEP_KS, SWEEP_FLOORS)
 
 
 _OVERLAP = "ov AS (SELECT a.id AS e, b.id AS r, round(sum(a.w * b.w), 6) AS t FROM ew a JOIN rw b USING (token) GROUP BY 1, 2)"
@@ -498,7 +499,7 @@ for _name, _kernel_name in (("lcs_ratio", "ratio"), ("token_sort_ratio", "token_
     query(name=_name)(_kernel(_kernel_name))
 
 
-_IDF_PAIRS = f"""{V.GRAM_SPACE.replace(V.GRAM_TOKENS, V.WORD_TOKENS)}, {V.cosines(0.3)}, pt AS (SELECT DISTINCT e, r, id, token, side FROM (SELECT cos.e, cos.r, et.id, token, 'x' AS side FROM cos JOIN et ON et.id = cos.e UNION ALL SELECT cos.e, cos.r, rt.id, token, 'y' FROM cos JOIN rt ON rt.id = cos.r)),
+_IDF_PAIRS = f"""{V.GRAM_SPACE.replace(V.GRAM_TOKENS, V.WORD_TOKENS)}, {V.cosines(PAIR_FLOOR)}, pt AS (SELECT DISTINCT e, r, id, token, side FROM (SELECT cos.e, cos.r, et.id, token, 'x' AS side FROM cos JOIN et ON et.id = cos.e UNION ALL SELECT cos.e, cos.r, rt.id, token, 'y' FROM cos JOIN rt ON rt.id = cos.r)),
 tk AS (SELECT e, r, token, bool_or(side = 'x') AS ix, bool_or(side = 'y') AS iy FROM pt GROUP BY e, r, token), w AS (SELECT tk.*, coalesce(idf, ln(1.0::DOUBLE + n) + 1) AS w, idf IS NULL AS unseen FROM tk LEFT JOIN idft USING (token), n)"""
 
 
@@ -508,7 +509,7 @@ round(sum(CASE WHEN ix AND iy THEN w ELSE 0 END) / sum(w), 6) AS weighted_jaccar
 def idf_pair_features(v: Views) -> DataFrame:
     items, turns = v.items(), v.turns()
     ew, rw, table = v._space(items, turns, T.words)
-    pairs = R.cosine_pairs(ew, rw, table, 0.3).select("e", "r").join(items.select("e", F.col("name").alias("x")), "e").join(turns.select("r", F.col("name").alias("y")), "r")
+    pairs = R.cosine_pairs(ew, rw, table, PAIR_FLOOR).select("e", "r").join(items.select("e", F.col("name").alias("x")), "e").join(turns.select("r", F.col("name").alias("y")), "r")
     n = items.count()
     return features.idf_features(pairs, "x", "y", table, R.unseen_idf(table, n), 3.0).drop("x", "y")
 
