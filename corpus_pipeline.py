@@ -10,8 +10,7 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import common
@@ -56,22 +55,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.when(F.col("deleted_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
 
 
+def _digest(*more: str) -> Column:
+    """A number for a row's content. Hashes pass over nulls, so where they are is hashed as well."""
+    return F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS], *more)
+
+
 @_stage
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group; rows that share an id are one document, of which the least text stays."""
-    docs = docs.select(*COLUMNS)
-    first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return rows.withColumn("__row", F.row_number().over(W.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars"))).where("__row = 1").select(*COLUMNS)
+    """One row of each group of near duplicates, that of the least id, null the least (ties by content). Every row is a document of its own, whatever its id."""
+    # Numbers are fixed once written; which rows stay doesn't depend on them, as ties go by content.
+    rows = common.stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__key"), _digest().alias("__digest")), "rows")
+    found = near_duplicates(rows, "__key").select(F.col("__key").alias("__of"), F.col("component_id").alias("__group"))
+    grouped = rows.select("__key", "doc_id", "__digest").join(found, F.col("__key") == F.col("__of"))
+    first = grouped.groupBy("__group").agg(F.min(F.struct("doc_id", "__digest", "__key")).alias("least")).select(F.col("least.__key").alias("__of"))
+    return rows.join(first, F.col("__key") == F.col("__of"), "left_semi").select(*COLUMNS)
 
 
 @_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, to the nearest whole number: 0, 1 or 2 times."""
-    docs = docs.select(*COLUMNS)
-    taken = mix(docs).where("size > 0").select(F.col("doc_id").alias("__id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return rows.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    """Each row as often as the mix takes its words, to the nearest whole number: 0, 1 or 2 times."""
+    # Keys of content and place among equal rows: the mix goes by them, so they can't depend on partitions.
+    rows = docs.groupBy(*COLUMNS).agg(F.count("*").alias("__n")).withColumn("__place", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    rows = common.stored(rows.select(*COLUMNS, _digest("__place").alias("__key")), "rows")
+    taken = mix(rows, "__key").where("size > 0").select(F.col("__key").alias("__of"), F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
+    out = rows.join(taken, F.col("__key") == F.col("__of"))
+    return out.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 
 @_stage

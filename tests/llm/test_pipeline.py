@@ -34,3 +34,24 @@ def test_odd_rows_and_no_rows(spark):
         rows = stage(spark, extra, SF).collect()
         assert rows, name
         assert stage(spark, none, SF).count() == 0
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    clean = [(None, text(0)), (None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (8, text(5))]
+    copies = [(7, text(0)), (9, text(3)), (None, text(5)), (9, text(3))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in clean + copies], brute.SCHEMA)
+    stages = dict(pipeline.STAGES)
+    kept = stages["ngram_join"](spark, docs, SF)
+    kept = spark.createDataFrame(kept.collect(), kept.schema)
+    assert sorted(r["text"] for r in kept.collect()) == [text(k) for k in range(6)]
+    # One source gives all it has 1.5 times, so every text is in the mix, none more than twice.
+    mixed = [r["text"] for r in stages["mixing"](spark, kept, SF).collect()]
+    assert set(mixed) == {text(k) for k in range(6)} and len(mixed) <= 12
+
+
+def test_the_rows_that_stay_do_not_depend_on_partitions(spark):
+    rows = spark.createDataFrame([(i % 3 or None, f"{'same words all over here again ' * 3}{k % 2}", "en", None if k % 3 else "a", 5) for i, k in enumerate(range(20))], brute.SCHEMA)
+    for name in ("ngram_join", "mixing"):
+        one, many = (sorted(map(str, dict(pipeline.STAGES)[name](spark, rows.repartition(n), SF).collect())) for n in (1, 5))
+        assert one == many, name
