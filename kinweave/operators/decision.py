@@ -158,6 +158,23 @@ def match_lists(decided: DataFrame, entities: DataFrame, sep: str = ",") -> Data
     return entities.select("e").join(lists, "e", "left").withColumn("matches", F.coalesce("matches", F.lit("")))
 
 
+def class_match_lists(near: DataFrame, ent: DataFrame, rec: DataFrame, t: float, delta: float, sep: str = ",") -> DataFrame:
+    """As ``match_lists`` with the rule "multi", where all records of the entity's name (e, name; r, name) have score 1 besides the pairs ``near`` (e, r, s).
+
+    Records of a name are listed once and the list joined, so that copies don't multiply into pairs.
+    """
+    key = F.when(F.col("name") != "", F.md5("name")).alias("class")
+    ent, rec = ent.select("e", key), rec.select("r", key)
+    one = F.struct((-F.col("s")).alias("s"), F.col("r").alias("r"))
+    own = rec.where("class is not null").groupBy("class").agg(F.collect_list(F.struct(F.lit(-1.0).alias("s"), F.col("r").alias("r"))).alias("own"))
+    other = near.join(ent, "e").join(rec.withColumnRenamed("class", "of"), "r").where("class is null or of is null or class != of")
+    other = other.groupBy("e").agg(F.collect_list(one).alias("other"))
+    none = F.array().cast("array<struct<s: double, r: bigint>>")
+    lists = ent.join(own, "class", "left").join(other, "e", "left").select("e", F.array_sort(F.concat(F.coalesce("own", none), F.coalesce("other", none))).alias("all"))
+    taken = F.filter("all", lambda x: (-x["s"] >= t) & (-F.col("all")[0]["s"] + x["s"] <= delta))
+    return lists.select("e", F.array_join(F.transform(taken, lambda x: x["r"].cast("string")), sep).alias("matches"))
+
+
 def candidate_lists(cand: DataFrame, entities: DataFrame, sep: str = ",") -> DataFrame:
     """(e, candidates): distinct candidates in order, one row per entity."""
     lists = cand.groupBy("e").agg(F.array_join(F.transform(F.array_sort(F.collect_set("r")), lambda x: x.cast("string")), sep).alias("candidates"))

@@ -80,6 +80,28 @@ def top_k(scored: DataFrame, k: int, tie_cap: int = 0, tolerance: float = 1e-6)
     return ranked.withColumn("kth", kth).where((F.col("rank") <= k) | (F.col("s") >= F.col("kth") - tolerance)).drop("kth")
 
 
+def classes(df: DataFrame, id_col: str, limit: int | None = None) -> DataFrame:
+    """(first, <id>): rows of equal names, by the least id of the name; with ``limit`` only the least so many ids of each. Empty names are in none."""
+    named = df.where("name <> ''").select(F.md5("name").alias("class"), id_col)
+    first = named.groupBy("class").agg(F.min(id_col).alias("first"))
+    if limit is not None:
+        named = named.withColumn("__n", F.row_number().over(W.partitionBy("class").orderBy(id_col))).where(F.col("__n") <= limit).drop("__n")
+    return named.join(first, "class").select("first", id_col)
+
+
+def class_top_k(ent: DataFrame, rec: DataFrame, space: tuple[DataFrame, DataFrame, DataFrame], floor: float, k: int) -> DataFrame:
+    """``top_k`` of ``cosine_pairs`` for rows (e, name) and (r, name): one row of each name is compared, then names are dealt out to their rows.
+
+    A record among the best k has a first of its name among the best k firsts, so pairs of copies are never all made.
+    """
+    ew, rw, table = space
+    es, rs = classes(ent, "e"), classes(rec, "r", k)
+    of = lambda w, c: w.join(c.select(F.col("first").alias("id")).distinct(), "id", "left_semi")
+    near = top_k(cosine_pairs(of(ew, es), of(rw, rs), table, floor), k).select(F.col("e").alias("first_e"), F.col("r").alias("first"), "s")
+    near = top_k(near.join(rs, "first").select(F.col("first_e").alias("e"), "r", "s"), k).withColumnRenamed("e", "first")
+    return near.join(es, "first").select("e", "r", "s", "rank")
+
+
 def by_country(scored: DataFrame, ent: DataFrame, rec: DataFrame, k: int, fallback_k: int) -> DataFrame:
     """Top k among records of the entity's country (or where either has none), and the ``fallback_k`` best of all; ranked anew."""
     cc = scored.join(ent.select("e", F.col("country").alias("ce")), "e").join(rec.select("r", F.col("country").alias("cr")), "r")
@@ -90,11 +112,13 @@ def by_country(scored: DataFrame, ent: DataFrame, rec: DataFrame, k: int, fallba
     return best.withColumn("rank", F.row_number().over(W.partitionBy("e").orderBy(F.col("s").desc(), "r")))
 
 
-def exact_channel(ent: DataFrame, rec: DataFrame, key: str, cap: int) -> DataFrame:
-    """(e, r, s, rank): records with the entity's key, score 1 and rank 1; a key of more than ``cap`` records finds none. Null and empty keys match nothing."""
+def exact_channel(ent: DataFrame, rec: DataFrame, key: str, cap: int | None = None) -> DataFrame:
+    """(e, r, s, rank): all records with the entity's key, score 1 and rank 1; with ``cap``, a key of more records finds none. Null and empty keys match nothing."""
     usable = F.col(key).isNotNull() & (F.col(key) != "")
-    few = rec.where(usable).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") <= cap).select(key)
-    found = ent.where(usable).select("e", key).join(few, key).join(rec.select("r", key), key)
+    found = ent.where(usable).select("e", key)
+    if cap is not None:
+        found = found.join(rec.where(usable).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") <= cap).select(key), key)
+    found = found.join(rec.where(usable).select("r", key), key)
     return found.select("e", "r", F.lit(1.0).alias("s"), F.lit(1).alias("rank"))
 
 

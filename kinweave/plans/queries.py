@@ -312,11 +312,11 @@ def fs_weights(v: Views) -> DataFrame:
 TOP = "row_number() OVER (PARTITION BY e ORDER BY s DESC, r)"
 
 
-@query(f"WITH few AS (SELECT p_name FROM part GROUP BY 1 HAVING count(*) <= 40), a AS (SELECT DISTINCT p_name, p_brand FROM part) SELECT a.p_brand || '|' || a.p_name AS e, p.p_partkey AS r, 1.0::DOUBLE AS s, 1 AS rank FROM a JOIN few USING (p_name) JOIN part p USING (p_name)")
+@query(f"WITH a AS (SELECT DISTINCT p_name, p_brand FROM part) SELECT a.p_brand || '|' || a.p_name AS e, p.p_partkey AS r, 1.0::DOUBLE AS s, 1 AS rank FROM a JOIN part p USING (p_name)")
 def exact_channel(v: Views) -> DataFrame:
     part = v.table("part")
     ent = part.select("p_name", "p_brand").distinct().select(F.concat_ws("|", "p_brand", "p_name").alias("e"), F.col("p_name").alias("key"))
-    return R.exact_channel(ent, part.select(F.col("p_partkey").alias("r"), F.col("p_name").alias("key")), "key", 40)
+    return R.exact_channel(ent, part.select(F.col("p_partkey").alias("r"), F.col("p_name").alias("key")), "key")
 
 
 WORD_FLOOR, GRAM_FLOOR, PAIR_FLOOR = 0.4, 0.4, 0.05
@@ -381,17 +381,22 @@ def dropped_keys(v: Views) -> DataFrame:
 def phon_channel(v: Views) -> DataFrame:
     part = v.table("part").select("p_partkey", T.name_views(F.col("p_name"), F.lit(None).cast("string")).alias("n"), "p_name")
     ent = part.select("p_name", F.col("n.name_mp_key").alias("key")).distinct().withColumnRenamed("p_name", "e")
-    return R.exact_channel(ent, part.select(F.col("p_partkey").alias("r"), F.col("n.name_mp_key").alias("key")), "key", 40)
+    return R.exact_channel(ent, part.select(F.col("p_partkey").alias("r"), F.col("n.name_mp_key").alias("key")), "key")
 
 
-_UNION = f"""{V.WORD_SPACE}, {V.cosines(WORD_FLOOR)}, word AS (SELECT * FROM (SELECT e, r, s, {TOP}::INT AS rank FROM cos) WHERE rank <= 5), {V.TRUTH},
-few AS (SELECT name FROM rec WHERE name <> '' GROUP BY name HAVING count(*) <= 30), exact AS (SELECT ent.e, rec.r, 1.0::DOUBLE AS s, 1 AS rank FROM ent JOIN few USING (name) JOIN rec USING (name)),
+UNION_K, RECALL_KS = 20, [1, 2, 5, 10, 20]
+_UNION = f"""{V.WORD_SPACE}, {V.cosines(WORD_FLOOR)}, word AS (SELECT * FROM (SELECT e, r, s, {TOP}::INT AS rank FROM cos) WHERE rank <= {UNION_K}), {V.TRUTH},
+exact AS (SELECT ent.e, rec.r, 1.0::DOUBLE AS s, 1 AS rank FROM ent JOIN rec USING (name) WHERE name <> ''),
 cand AS (SELECT e, r, x.s AS exact_score, x.rank AS exact_rank, (x.s IS NOT NULL)::INT AS hit_exact, w.s AS word_score, w.rank AS word_rank, (w.s IS NOT NULL)::INT AS hit_word, (x.s IS NOT NULL)::INT + (w.s IS NOT NULL)::INT AS n_channels FROM exact x FULL JOIN word w USING (e, r))"""
 
 
+def _word_near(v: Views) -> DataFrame:
+    return R.class_top_k(v.ent(), v.rec(), v.word_space(), WORD_FLOOR, UNION_K)
+
+
 def _union(v: Views) -> DataFrame:
-    exact = R.exact_channel(v.ent().select("e", "name"), v.rec().select("r", "name"), "name", 30)
-    return R.union({"exact": exact, "word": R.top_k(_word_cosines(v), 5)})
+    exact = R.exact_channel(v.ent().select("e", "name"), v.rec().select("r", "name"), "name")
+    return R.union({"exact": exact, "word": _word_near(v)})
 
 
 @query(f"WITH {_UNION} SELECT * FROM cand")
@@ -408,9 +413,9 @@ def retrieval_report(v: Views) -> DataFrame:
     return R.channel_report(_union(v), v.truth(), ["exact", "word"])
 
 
-@query(f"WITH {_UNION}, f AS (SELECT cand.* FROM cand JOIN truth USING (e, r)) " + " UNION ALL ".join(f"SELECT {k} AS k, round(coalesce((SELECT count(*) FROM f WHERE word_rank <= {k}), 0) / (SELECT count(*) FROM truth)::DOUBLE, 6) AS recall" for k in (1, 2, 5)))
+@query(f"WITH {_UNION}, f AS (SELECT cand.* FROM cand JOIN truth USING (e, r)) " + " UNION ALL ".join(f"SELECT {k} AS k, round(coalesce((SELECT count(*) FROM f WHERE word_rank <= {k}), 0) / (SELECT count(*) FROM truth)::DOUBLE, 6) AS recall" for k in RECALL_KS))
 def recall_at_k(v: Views) -> DataFrame:
-    return R.recall_at(_union(v), v.truth(), "word", [1, 2, 5])
+    return R.recall_at(_union(v), v.truth(), "word", RECALL_KS)
 
 
 @query(f"WITH {_UNION}, c AS (SELECT ent.e, count(cand.r) AS n FROM ent LEFT JOIN cand ON ent.e = cand.e GROUP BY 1) SELECT " + ", ".join(f"quantile_cont(n, {p})::DOUBLE AS p{int(p * 100)}" for p in (0.5, 0.75, 0.9, 0.95, 0.99)) + ", max(n) AS most, round(avg(n), 6) AS mean, count(*) FILTER (n = 0) AS without FROM c")
@@ -796,6 +801,5 @@ def tsv_roundtrip(v: Views) -> DataFrame:
 @query(f"""WITH {_UNION}, sc AS (SELECT e, r, coalesce(word_score, exact_score) AS s FROM cand), t AS (SELECT *, max(s) OVER (PARTITION BY e) AS top FROM sc), m AS (SELECT e, r, s FROM t WHERE s >= 0.6 AND top - s <= 0.2)
 SELECT ent.e, coalesce(string_agg(m.r::VARCHAR, ',' ORDER BY s DESC, m.r), '') AS matches FROM ent LEFT JOIN m ON m.e = ent.e GROUP BY ent.e""")
 def linked_records(v: Views) -> DataFrame:
-    scored = _union(v).select("e", "r", F.coalesce("word_score", "exact_score").alias("s"))
-    decided = decision.ranked(scored).withColumn("acc", decision.rule("multi", t=0.6, delta=0.2))
-    return decision.match_lists(decided, v.ent())
+    """The exact channel as lists by name, with the word channel's pairs of other names."""
+    return decision.class_match_lists(_word_near(v), v.ent(), v.rec(), 0.6, 0.2)
