@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +70,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# Rows in Python workers.
+
+
+def without_cycles() -> None:
+    """Stop the collector of cycles in this worker: it would walk millions of live lists again and again, and no cycles are made."""
+    gc.disable()
+
+
+def slices(batch: pa.RecordBatch, text: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most so many rows and, but for single rows, bytes in the column number ``text``."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = sizes[at - 1] if at else 0
+        end = max(at + 1, min(at + rows, int(np.searchsorted(sizes, before + size, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 # Files that Python workers write and read on the shared store.
 
 

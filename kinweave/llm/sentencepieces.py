@@ -6,7 +6,7 @@ empty. Symbols that are no piece become byte pieces. Pieces never reach over a s
 so that a text's stretches between such places are encoded apart; each distinct short stretch is encoded once, many of
 one length together as the rows of a matrix (each row is an agenda), and long stretches one by one with a heap.
 
-Every text's ids are compared with those of the sentencepiece library, batch by batch; a difference is an error.
+Every whole text's ids are compared with those of the sentencepiece library, batch by batch; a column tells which agree.
 """
 
 from __future__ import annotations
@@ -14,21 +14,23 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table
+from .common import slices, table, without_cycles
 
 MARK = "▁"
 LONG = 64  # characters of a stretch from which on it gets a heap of its own
-CACHED = 500_000
+#: Stretches kept, of two generations: the older goes when the younger is full, and what it held is encoded anew if met again.
+CACHED = 800_000
 NONE = np.int64(1 << 40)  # rank of a pair that doesn't merge
 
 
@@ -64,14 +66,16 @@ class MergeVocabulary:
         # Marks that no piece has after another kind of character: a stretch ends before them, and is met more often.
         follow = {p[k] for p in pieces for k in range(1, len(p)) if p[k - 1] != p[k] and (p[k - 1].isalnum() or p[k - 1] == MARK)}
         apart = "".join(re.escape(c) for c in "\n.,;:!?*%$#&|" if c not in follow or c not in inside)
-        if any(MARK in p.lstrip(MARK) for p in pieces):
+        self._simple = all(MARK not in p.lstrip(MARK) for p in pieces)
+        if not self._simple:
             self.stretch = re.compile(r"(?s).+")
         elif not apart:
             self.stretch = re.compile(rf"{MARK}+[^{MARK}]*|[^{MARK}]+")
         else:
             # Only letters and digits come before such an end, so that no merge reaches over it.
             self.stretch = re.compile(rf"{MARK}*[^\W_]+(?=[{apart}])|{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {"": b""}
+        self._older: dict[str, bytes] = {}
         self.decimal = [f"{i} " for i in range(n)]
 
     def _table(self, merges: dict) -> None:
@@ -105,36 +109,36 @@ class MergeVocabulary:
         ranks = np.where(found == key, self._ranks[at], NONE)
         return ranks.reshape(left.shape), self._merged[at].reshape(left.shape)
 
-    def _rows(self, texts: list[str]) -> list[list[int]]:
-        """Ids of texts of one length; every round pops the best pair of each row's agenda."""
+    def _rows(self, texts: list[str]) -> None:
+        """Put the ids of texts of one length into the cache; every round pops the best pair of each row's agenda."""
         symbols = self.symbol[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)].reshape(len(texts), -1)
-        out: list = [None] * len(texts)
-        rows = np.arange(len(texts))
+        rows, names = np.arange(len(texts)), np.array(texts, object)
         ranks, to = self._pairs(symbols[:, :-1], symbols[:, 1:])
         while len(rows):
             wide = symbols.shape[1]
             best = ranks.argmin(1) if wide > 1 else None
             done = ranks[np.arange(len(rows)), best] == NONE if wide > 1 else np.ones(len(rows), bool)
             if done.any():
-                ends, known = symbols[done], (symbols[done] < self.size).all(1)
-                for r, s, k in zip(rows[done].tolist(), ends.tolist(), known.tolist(), strict=True):
-                    out[r] = s if k else self._ids(s)
+                self._keep(names[rows[done]].tolist(), symbols[done])
                 if done.all():
                     break
                 go = ~done
                 rows, symbols, ranks, to, best = rows[go], symbols[go], ranks[go], to[go], best[go]
-            each = np.arange(len(rows))
+            # Close the gap: the pair's first place takes the piece, its second place and the pair itself go.
+            each, column = np.arange(len(rows)), np.arange(wide - 1)
             symbols[each, best] = to[each, best]
-            stay = np.ones(symbols.shape, bool)
-            stay[each, best + 1] = False
-            symbols = symbols[stay].reshape(len(rows), wide - 1)
-            stay = np.ones(ranks.shape, bool)
-            stay[each, best] = False
-            ranks, to = ranks[stay].reshape(len(rows), wide - 2), to[stay].reshape(len(rows), wide - 2)
+            at = best[:, None]
+            symbols = np.where(column <= at, symbols[:, :-1], symbols[:, 1:])
+            ranks, to = (np.where(column[:-1] < at, x[:, :-1], x[:, 1:]) for x in (ranks, to))
             for side, has in ((best - 1, best > 0), (best, best < wide - 2)):
                 r, c = each[has], side[has]
                 ranks[r, c], to[r, c] = self._pairs(symbols[r, c], symbols[r, c + 1])
-        return out
+
+    def _keep(self, texts: list[str], symbols: np.ndarray) -> None:
+        wide, data = 4 * symbols.shape[1], symbols.astype("<i4").tobytes()
+        self.cache.update(zip(texts, [data[k : k + wide] for k in range(0, len(data), wide)], strict=True))
+        for k in np.flatnonzero((symbols >= self.size).any(1)).tolist():  # characters that are no piece
+            self.cache[texts[k]] = array("i", self._ids(symbols[k].tolist())).tobytes()
 
     def _heap(self, text: str) -> list[int]:
         """Symbols left of a text, with a heap as the agenda."""
@@ -165,21 +169,28 @@ class MergeVocabulary:
             return symbols
         return [x for s in symbols for x in ([s] if s < self.size else [self.bytes[b] for b in chr(s - self.size).encode()] if self.bytes else [self.lib.unk_id()])]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text, without an end id."""
+    def _parts(self, text: str) -> list[str]:
+        if self._simple and MARK + MARK not in text:
+            return text.replace(MARK, "\0" + MARK).split("\0") if "\0" not in text else self.stretch.findall(text)
+        return self.stretch.findall(text)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, without an end id, as 32-bit numbers."""
         if len(self.cache) > CACHED:
-            self.cache.clear()
-        parts = [self.stretch.findall(self.lib.normalize(t)) for t in texts]
-        by_length, long = defaultdict(list), {}
-        for p in set().union(*parts).difference(self.cache):
+            self.cache, self._older = {"": b""}, self.cache
+        parts = [self._parts(self.lib.normalize(t)) for t in texts]
+        by_length, cache = defaultdict(list), self.cache
+        new = set().union(*parts).difference(cache)
+        if self._older:
+            cache.update((p, self._older[p]) for p in new & self._older.keys())
+            new -= cache.keys()
+        for p in new:
             by_length[min(len(p), LONG)].append(p)
-        for n, new in by_length.items():
-            if n == LONG:
-                long = {p: self._ids(self._heap(p)) for p in new}
-            else:
-                self.cache.update(zip(new, self._rows(new), strict=True))
-        get = self.cache.__getitem__ if not long else lambda p: long[p] if len(p) >= LONG else self.cache[p]
-        return [list(chain.from_iterable(map(get, ps))) for ps in parts]
+        long = {p: array("i", self._ids(self._heap(p))).tobytes() for p in by_length.pop(LONG, ())}
+        for group in by_length.values():
+            self._rows(group)
+        get = cache.__getitem__ if not long else lambda p: long[p] if len(p) >= LONG else cache[p]
+        return [b"".join(map(get, ps)) for ps in parts]
 
 
 _vocabularies: dict[str, MergeVocabulary] = {}
@@ -191,36 +202,41 @@ def vocabulary(path: str) -> MergeVocabulary:
     return _vocabularies[path]
 
 
-ROW = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
-BATCH = 1024  # texts encoded together
+RESULT = [("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string()), ("agrees", T.BooleanType(), pa.bool_()), ("ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))]
+BATCH, BATCH_BYTES = 1024, 8_000_000  # texts encoded together, at most
 
 
 def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256[, ids]) of every text, an end id at its end; the decoded text comes from the ids.
+    """(id, n_tokens, ids_sha256, decoded_sha256, agrees[, ids]) of every text, an end id at its end; the decoded text comes from the ids.
 
-    A null text counts as empty: its end id alone. Raises if a text's ids are not those of the sentencepiece library.
+    ``agrees``: the ids are those of the sentencepiece library, with which every whole text is compared. Null and empty
+    texts have their end id alone. The id may be of any type, null or repeated: every row gives one row. Other columns
+    are not read, whatever their names. Texts may be of any length. An empty table gives no rows.
     """
+    kept = RESULT if with_ids else RESULT[:-1]
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(n, t) for n, t, _ in kept)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        without_cycles()
         v = vocabulary(model)
+        end = array("i", [v.end]).tobytes()
         for batch in batches:
-            for k in range(0, batch.num_rows, BATCH):
-                some = batch.slice(k, BATCH)
+            for some in slices(batch, 1, BATCH, BATCH_BYTES):
                 texts = [t or "" for t in some.column(1).to_pylist()]
-                ids = v.encode(texts)
-                for x in ids:
-                    x.append(v.end)
+                data = [x + end for x in v.encode(texts)]
                 theirs = v.lib.encode(texts, add_bos=False, add_eos=True, num_threads=1)
-                if ids != theirs:
-                    bad = next(i for i, (a, b) in enumerate(zip(ids, theirs, strict=True)) if a != b)
-                    raise ValueError(f"ids differ from the library's for row {some.column(0)[bad]}")
+                agrees = [array("i", x).tobytes() == own for x, own in zip(theirs, data, strict=True)]
+                ids = [x if same else array("i", own).tolist() for x, own, same in zip(theirs, data, agrees, strict=True)]
                 decoded = v.lib.decode(ids, num_threads=1)
                 digest = [hashlib.sha256("".join(map(v.decimal.__getitem__, x))[:-1].encode()).hexdigest() for x in ids]
-                out = [some.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array(digest), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded])]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(ids if with_ids else [None] * len(ids), pa.list_(pa.int32()))], ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
-
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ROW).withColumnRenamed("id", id_col)
-    return out if with_ids else out.drop("ids")
+                columns = [[len(x) // 4 for x in data], digest, [hashlib.sha256(t.encode()).hexdigest() for t in decoded], agrees]
+                if with_ids:
+                    flat = np.frombuffer(b"".join(data), np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *columns[0]]), pa.int32()), pa.array(flat)))
+                arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, _, t) in zip(columns, kept, strict=True)]
+                yield pa.RecordBatch.from_arrays([some.column(0), *arrays], schema.names)
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -471,9 +471,27 @@ def test_agenda_is_the_library():
     random.seed(1)
     for _ in range(5):
         texts = ["".join(random.choice("abcdeethinsr ▁  \n.,!éü\U0001f600日") for _ in range(random.randint(0, 200))) for _ in range(200)]
-        assert v.encode(texts) == v.lib.encode(texts, num_threads=1)
+        assert [np.frombuffer(x, "<i4").tolist() for x in v.encode(texts)] == v.lib.encode(texts, num_threads=1)
     long = "x" * 300 + "the" * 50
-    assert v._ids(v._heap(long)) == v._rows([long])[0]
+    v._rows([long])
+    assert v._ids(v._heap(long)) == np.frombuffer(v.cache.pop(long), "<i4").tolist()
+
+
+def test_stretches_outlive_their_generation(monkeypatch):
+    v = sentencepieces.MergeVocabulary(P.path("piece_bpe_32k.model"))
+    monkeypatch.setattr(sentencepieces, "CACHED", 3)
+    texts = ["the first text", "another one here", "the first text again", "", "x" * 70, "the first one"]
+    for t in texts + texts:
+        assert np.frombuffer(v.encode([t])[0], "<i4").tolist() == v.lib.encode(t)
+        assert len(v.cache) <= 3 + 8
+
+
+def test_op9_takes_ids_of_any_type_and_marks_what_differs(spark, monkeypatch):
+    path = P.path("piece_bpe_32k.model")
+    df = spark.createDataFrame([("a1", "some text", 1), (None, None, 2), ("a1", "some text", 3)], "doc_id string, text string, ids int")
+    rows = sentencepieces.encode_pieces(df, path).collect()
+    assert [r["doc_id"] for r in rows] == ["a1", None, "a1"] and all(r["agrees"] for r in rows) and rows[1]["n_tokens"] == 1
+    assert rows[0]["ids"] == sentencepieces.vocabulary(path).lib.encode("some text", add_eos=True)
 
 
 # Line dedup.
