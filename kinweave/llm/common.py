@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +90,35 @@ def slices(batch: pa.RecordBatch, text: int, rows: int, size: int) -> Iterator[p
         at = end
 
 
+def mix64(h: np.ndarray) -> np.ndarray:
+    """A bijective scramble of 64-bit numbers."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of as many whole numbers each: widths in bytes, then byte planes together, compressed."""
+    widths, planes = bytearray(), []
+    for c in columns:
+        c = np.ascontiguousarray(c, "<i8")
+        width = 8 if len(c) and int(c.min()) < 0 else max(1, -(-int(c.max(initial=0)).bit_length() // 8))
+        widths.append(width)
+        planes.append(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    return bytes(widths) + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpack(data: bytes, n: int) -> list[np.ndarray]:
+    raw, out, at = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[n:]), np.uint8), [], 0
+    rows = len(raw) // sum(data[:n])
+    for width in data[:n]:
+        c = np.zeros((rows, 8), np.uint8)
+        c[:, :width] = raw[at : at + rows * width].reshape(width, rows).T
+        out.append(c.reshape(-1).view("<i8"))
+        at += rows * width
+    return out
+
+
 # Files that Python workers write and read on the shared store.
 
 

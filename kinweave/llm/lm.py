@@ -4,18 +4,25 @@ The model has orders 1 to 3 with interpolated absolute discounting: p(w|h) = max
 over all n-grams, also those seen once; g(h) is the mass that they leave, and the unigram distribution adds 0.1 to each
 count. Tokens are words and an end after each text; the end also stands before each text's first word.
 
-Vocabulary: words are 64-bit hashes, sorted, in files by ranges of hashes, with counts; they are numbered in that order. N-grams lie in shards by the hash of their first two words. A shard has three levels: first
-words; pairs; triples. On a level, the successors of context number k are stored as k * (vocabulary size) + word, one
-monotone sequence over all contexts, in Elias-Fano form: low bits packed, high bits in unary with a directory of counts.
-So the pointers from contexts to their successors are monotone and implied by the high bits, and a lookup searches for
-one value relative to its context. Probabilities and left-over masses are quantised to a byte, downwards. Files are
-memory-mapped by the workers that score.
+Vocabulary: words are 64-bit hashes, sorted, in files by ranges of hashes, with counts; they are numbered in that order.
+N-grams lie in shards by the hash of their first two words. A shard has three levels: first words; pairs; triples. On a
+level, the successors of context number k are stored as k * (vocabulary size) + word, one monotone sequence over all
+contexts, in Elias-Fano form: low bits packed, high bits in unary with a directory of counts. So the pointers from
+contexts to their successors are monotone and implied by the high bits, and a lookup searches for one value relative to
+its context. Probabilities and left-over masses are quantised to a byte, downwards.
+
+Texts are read once, into chunks of numbered tokens. A chunk sends each of its distinct n-grams once to its shard, with
+its count in training texts; the task of a shard sums the counts, writes the shard, maps it into memory and looks up
+there what all chunks ask; the answers, three bytes an n-gram, go back to the chunks. So a shard is opened by one task,
+every n-gram of a shard is searched once, and nothing is held that grows with the corpus.
 """
 
 from __future__ import annotations
 
 import json
 import struct
+from array import array
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,16 +32,17 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import open_store, partitions, put, scratch, stored, table
-from .ngram_join import PACKED, _batch, _deal, _mix, unpack
+from .common import mix64, open_store, pack, partitions, put, scratch, stored, table, unpack, without_cycles
 
 DISCOUNT = 0.75
 ADDED = 0.1
-CHUNK_BYTES = 10_000_000  # of text handled together
+CHUNK_TOKENS = 2_500_000  # tokens numbered together, at most, but for the rest of the last text
 END = 0x1D8E4E27C47D124F  # stands for the end among hashes
 FLOOR = -10.0  # log10 of the least mass that a byte stands for
 STEPS = 255 / -FLOOR
+OPEN_FILES = 64  # files of arrays that a worker keeps open
 
 
 # Files of arrays.
@@ -54,7 +62,7 @@ def arrays_bytes(arrays: dict[str, np.ndarray], **facts) -> list[bytes]:
 
 
 class Arrays:
-    """A file of arrays, memory-mapped where the store is a local or mounted folder, else read."""
+    """A file of arrays, memory-mapped where the store is a local or mounted folder, else read. A file holds one shard or one range."""
 
     def __init__(self, uri: str):
         fs, path = open_store(uri)
@@ -71,6 +79,24 @@ class Arrays:
             setattr(self, name, raw[8 + n + at : 8 + n + at + size].view(kind))
 
 
+class Files:
+    """The files of arrays that were used last."""
+
+    def __init__(self):
+        self._open: OrderedDict[str, Arrays] = OrderedDict()
+
+    def __getstate__(self):
+        return {"_open": OrderedDict()}
+
+    def __getitem__(self, path: str) -> Arrays:
+        if path not in self._open:
+            self._open[path] = Arrays(path)
+            while len(self._open) > OPEN_FILES:
+                self._open.popitem(last=False)
+        self._open.move_to_end(path)
+        return self._open[path]
+
+
 def quantise(mass: np.ndarray) -> np.ndarray:
     """A byte for a mass from 0 to 1: never stands for more."""
     with np.errstate(divide="ignore"):
@@ -154,232 +180,281 @@ class Sequence:
         return out
 
 
-# Tokens.
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word, 7)
-        return h
+# Chunks of tokens.
 
 
-_hashes = _Hashes()
+class _Index(dict):
+    """Numbers words in the order in which they are met; the end is number 0."""
 
+    def __missing__(self, word: bytes) -> int:
+        k = self[word] = len(self) + 1
+        return k
+
+
+class Chunk:
+    """Tokens of some texts as numbers in the chunk's sorted hashes."""
+
+    def __init__(self, hashes: np.ndarray, place: np.ndarray, sizes: np.ndarray, train: np.ndarray):
+        self.hashes, self.place, self.sizes, self.begin = hashes, place, sizes, np.cumsum(sizes) - sizes
+        self.train = np.repeat(train, sizes)
+
+    @staticmethod
+    def read(row: dict) -> Chunk:
+        place, sizes, step = (unpack(row[c], 1)[0] for c in ("place", "sizes", "hashes"))
+        return Chunk(np.cumsum(step.view(np.uint64), dtype=np.uint64), place, sizes, np.array(row["train"], bool))
+
+    def grams(self, numbers: np.ndarray, size: int, shards: int) -> tuple:
+        """Distinct n-grams by shard: shard, words, training count; and for each token the place of the n-gram that begins before it.
+
+        An n-gram is a pair, of the token and that before it, with the token after it (size: none, size + 1: unknown).
+        Those whose pair holds an unknown word are left out (place -1).
+        """
+        n, u = len(self.place), len(self.hashes)
+        first = np.zeros(n, bool)
+        first[self.begin] = True
+        last = np.r_[first[1:], True][:n]
+        before = np.where(first, np.searchsorted(self.hashes, np.uint64(END)), np.r_[0, self.place[:-1]][:n])
+        after = np.where(last, u, np.r_[self.place[1:], 0][:n])
+        go = np.flatnonzero((numbers[before] >= 0) & (numbers[self.place] >= 0)) if n else np.zeros(0, np.int64)
+        pair = before[go] * u + self.place[go]
+        if u < 1 << 20:
+            key, inverse = np.unique(pair * (u + 1) + after[go], return_inverse=True)
+            pairs, c = np.divmod(key, u + 1)
+        else:  # the triple would not fit in 63 bits
+            distinct, which = np.unique(pair, return_inverse=True)
+            key, inverse = np.unique(which * (u + 1) + after[go], return_inverse=True)
+            pairs, c = np.divmod(key, u + 1)
+            pairs = distinct[pairs]
+        a, b = np.divmod(pairs, u) if u else (pairs, pairs)
+        a, b = numbers[a], numbers[b]
+        c = np.r_[np.where(numbers < 0, size + 1, numbers), size][c]
+        count = np.bincount(inverse, weights=self.train[go], minlength=len(key)).astype(np.int64)
+        home = _shard(a, b, shards)
+        order = np.argsort(home.astype(np.uint16) if shards < 1 << 16 else home, kind="stable")
+        where = np.empty(len(order), np.int64)
+        where[order] = np.arange(len(order))
+        place = np.full(n, -1, np.int64)
+        place[go] = where[inverse]
+        return home[order], a[order], b[order], c[order], count[order], place
+
+
+CHUNK = [("chunk", T.LongType()), ("train", T.ArrayType(T.BooleanType())), ("sizes", T.BinaryType()), ("hashes", T.BinaryType()), ("place", T.BinaryType())]
+
+
+def tokenise(docs: DataFrame) -> DataFrame:
+    """Chunks of rows (id, train, text), written: ids, which of them train, and their tokens. A null text is empty."""
+    id_type = docs.schema["id"].dataType
+    schema = T.StructType([*(T.StructField(n, t) for n, t in CHUNK), T.StructField("ids", T.ArrayType(id_type))])
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of all texts (A-Z in lower case), and how many each has; each text's last is its end."""
-    if len(_hashes) > 300_000:
-        _hashes.clear()
-    words = [t.lower().split() for t in texts]
-    sizes = np.array([len(w) + 1 for w in words], np.int64)
-    return np.fromiter((h for w in words for part in (map(_hashes.__getitem__, w), (END,)) for h in part), np.uint64, int(sizes.sum())), sizes
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        without_cycles()
+        part, seq, arrow = TaskContext.get().partitionId(), 0, None
+        ids, train, sizes, flat, index = [], [], array("q"), array("I"), _Index()
+
+        def close() -> pa.RecordBatch:
+            hashes = np.array([END, *map(xxhash.xxh3_64_intdigest, index)], np.uint64)
+            order = np.argsort(hashes)
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            hashes = hashes[order]
+            packed = [pack(np.array(sizes, np.int64)), pack(np.diff(hashes, prepend=np.uint64(0)).view(np.int64)), pack(rank[np.array(flat, np.uint32)])]
+            chunk = part << 32 | seq
+            columns = [pa.array([chunk], pa.int64()), pa.array([train], pa.list_(pa.bool_())), *(pa.array([x], pa.binary()) for x in packed), pa.array([ids], pa.list_(arrow))]
+            return pa.RecordBatch.from_arrays(columns, schema.names)
+
+        for batch in batches:
+            arrow = batch.column(0).type
+            for i, f, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = len(flat)
+                flat.extend(map(index.__getitem__, (t or "").encode().lower().split()))  # on bytes: ASCII letters, and blanks 9-13 and 32
+                flat.append(0)
+                ids.append(i)
+                train.append(bool(f))
+                sizes.append(len(flat) - n)
+                if len(flat) >= CHUNK_TOKENS:
+                    yield close()
+                    ids, train, sizes, flat, index, seq = [], [], array("q"), array("I"), _Index(), seq + 1
+        if ids:
+            yield close()
+
+    return stored(docs.select("id", "train", "text").mapInArrow(run, schema), "lm-chunks")
+
+
+def _read_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk]]:
+    without_cycles()
+    for batch in batches:
+        for row in batch.to_pylist():
+            yield row["chunk"], Chunk.read(row)
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list[bytes]]]:
-    """Ids, flags and texts of some rows at a time."""
-    ids, flags, texts, held = [], [], [], 0
-    for batch in batches:
-        for i, f, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            t = (t or "").encode()
-            ids.append(i)
-            flags.append(f)
-            texts.append(t)
-            held += len(t)
-            if held >= CHUNK_BYTES:
-                yield ids, flags, texts
-                ids, flags, texts, held = [], [], [], 0
-    if ids:
-        yield ids, flags, texts
+# Vocabulary.
 
 
 def _range_of(h: np.ndarray, n: int) -> np.ndarray:
     return (h >> np.uint64(44)).astype(np.int64) * n >> 20
 
 
+def _runs(sorted_keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(key, begin, end) of each run of equal keys."""
+    at = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(sorted_keys) else np.zeros(0, np.int64)
+    yield from zip(sorted_keys[at].tolist(), at.tolist(), [*at[1:].tolist(), len(sorted_keys)])
+
+
 class Vocabulary:
     """The vocabulary files: count and number of words by their hashes, and counts by numbers."""
 
     def __init__(self, paths: list[str | None], bases: list[int], size: int):
-        self.paths, self.bases, self.size, self._open = paths, np.array(bases, np.int64), size, {}
-
-    def __getstate__(self):
-        return {"paths": self.paths, "bases": self.bases, "size": self.size, "_open": {}}
+        self.paths, self.bases, self.size, self.files = paths, np.array(bases, np.int64), size, Files()
 
     def part(self, k: int) -> Arrays:
-        if k not in self._open:
-            self._open[k] = Arrays(self.paths[k])
-        return self._open[k]
+        return self.files[self.paths[k]]
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count (0: unknown) and number (-1: none) of each hash."""
-        h, place = np.unique(h, return_inverse=True)
+        """Count (0: unknown) and number (-1: none) of each of some sorted hashes."""
         count, number = np.zeros(len(h), np.int64), np.full(len(h), -1, np.int64)
-        part = _range_of(h, len(self.paths))
-        for k in np.unique(part):
+        for k, a, b in _runs(_range_of(h, len(self.paths))):
             if self.paths[k] is None:
                 continue
-            a, b = np.searchsorted(part, [k, k + 1])
             f = self.part(k)
             at = np.minimum(np.searchsorted(f.hashes, h[a:b]), len(f.hashes) - 1)
             hit = f.hashes[at] == h[a:b]
-            c = np.where(hit, f.counts[at], 0).astype(np.int64)
-            count[a:b] = c
+            count[a:b] = np.where(hit, f.counts[at], 0).astype(np.int64)
             number[a:b] = np.where(hit, self.bases[k] + at, -1)
-        return count[place], number[place]
+        return count, number
+
+    def part_of(self, numbers: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bases, numbers, "right") - 1
 
     def counts_of(self, numbers: np.ndarray) -> np.ndarray:
         """Counts of words by their numbers, in increasing order."""
         out = np.zeros(len(numbers), np.int64)
-        part = np.searchsorted(self.bases, numbers, "right") - 1
-        for k in np.unique(part):
-            at = part == k
-            out[at] = self.part(k).counts[numbers[at] - self.bases[k]]
+        for k, a, b in _runs(self.part_of(numbers)):
+            out[a:b] = self.part(k).counts[numbers[a:b] - self.bases[k]]
         return out
 
 
-class Model:
-    """What the workers need to score: paths and totals; files are opened when first used."""
-
-    def __init__(self, vocabulary: Vocabulary, total: int, distinct: int, left: list[str | None], shards: list[str | None]):
-        self.vocabulary, self.total, self.distinct, self.left, self.shards, self._open = vocabulary, total, distinct, left, shards, {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"_open": {}}
-
-    def _file(self, path: str) -> Arrays:
-        if path not in self._open:
-            f = self._open[path] = Arrays(path)
-            if "bits" in f.facts:
-                f.levels = [Sequence(f, f"level{k}", b) for k, b in enumerate(f.facts["bits"])]
-        return self._open[path]
-
-    def _left_of(self, numbers: np.ndarray) -> np.ndarray:
-        """Mass that the pairs of each word leave; 1 for words without a number."""
-        out = np.ones(len(numbers))
-        part = np.where(numbers >= 0, np.searchsorted(self.vocabulary.bases, numbers, "right") - 1, -1)
-        for k in np.unique(part[part >= 0]):
-            if self.left[k] is not None:
-                at = part == k
-                out[at] = MASS[self._file(self.left[k]).left[numbers[at] - self.vocabulary.bases[k]]]
-        return out
-
-    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens, known tokens, sum of log10 unigram probabilities and log10 probability of each text."""
-        h, sizes = tokens(texts)
-        begin = np.cumsum(sizes) - sizes
-        count, word = self.vocabulary.look(h)
-        one = (count + ADDED) / (self.total + ADDED * (self.distinct + 1))
-        _, end = self.vocabulary.look(np.array([END], np.uint64))
-        first = np.zeros(len(h), bool)
-        first[begin] = True
-        before = np.where(first, end[0], np.concatenate([[-1], word[:-1]]))
-        two = self._left_of(before) * one
-        three, n = np.zeros(len(h)), len(self.shards)
-        left, has_context = np.ones(len(h)), np.zeros(len(h), bool)
-        pairs = np.flatnonzero((before >= 0) & (word >= 0))
-        # The shard of a pair holds what follows it too: first find each pair, then, at the next token, its successor.
-        home = _shard(before[pairs], word[pairs], n)
-        order = np.argsort(home, kind="stable")
-        pairs, home = pairs[order], home[order]
-        cuts = np.searchsorted(home, np.arange(n + 1))
-        for k in range(n):
-            at = pairs[cuts[k] : cuts[k + 1]]
-            if not len(at) or self.shards[k] is None:
-                continue
-            f = self._file(self.shards[k])
-            context = f.levels[0].find(before[at])
-            at, context = at[context >= 0], context[context >= 0]
-            node = f.levels[1].find(context * self.vocabulary.size + word[at])
-            at, node = at[node >= 0], node[node >= 0]
-            two[at] += MASS[f.pair_mass[node]]
-            then = at + 1
-            go = then < len(h)
-            go[go] = ~first[then[go]]
-            then, node = then[go], node[go]
-            left[then], has_context[then] = MASS[f.pair_left[node]], True
-            known = word[then] >= 0
-            then, node = then[known], node[known]
-            leaf = f.levels[2].find(node * self.vocabulary.size + word[then])
-            three[then[leaf >= 0]] = MASS[f.triple_mass[leaf[leaf >= 0]]]
-        p = np.where(has_context, three + left * two, two)
-        add = lambda x: np.add.reduceat(x, begin) if len(begin) else np.zeros(0)
-        return sizes, add((count > 0).astype(np.int64)), add(np.log10(one)), add(np.log10(p))
-
-
-def _shard(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (_mix(a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
-
-
 FILE = "part int, path string, words long, tokens long"
+PACKED = "bucket int, chunk long, data binary"
 
 
 def _one(**row) -> pa.Table:
     return pa.Table.from_pydict({k: [v] for k, v in row.items()}, pa.schema([("part", pa.int32()), ("path", pa.string()), ("words", pa.int64()), ("tokens", pa.int64())]))
 
 
-def count_words(docs: DataFrame, out_dir: str, parts: int) -> DataFrame:
-    """Vocabulary files by ranges of hashes (FILE)."""
+def _packed(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    b, c, d = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], ["bucket", "chunk", "data"])
+
+
+def count_words(chunks: DataFrame, out_dir: str, parts: int) -> DataFrame:
+    """Vocabulary files of training texts by ranges of hashes (FILE)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, texts in chunks(batches):
-            h, n = np.unique(tokens(texts)[0], return_counts=True)
-            yield _batch(list(_deal(_range_of(h, parts), [h.view(np.int64), n], 0)))
+        for chunk, c in _read_chunks(batches):
+            n = np.bincount(c.place[c.train], minlength=len(c.hashes))
+            h, n = c.hashes[n > 0], n[n > 0]
+            yield _packed([(k, chunk, pack(np.diff(h[a:b], prepend=np.uint64(0)).view(np.int64), n[a:b])) for k, a, b in _runs(_range_of(h, parts))])
 
     def write(key: tuple, rows: pa.Table) -> pa.Table:
         k, some = key[0].as_py(), [unpack(d, 2) for d in rows.column("data").to_pylist()]
-        h, place = np.unique(np.concatenate([s[0] for s in some]).view(np.uint64), return_inverse=True)
+        h, place = np.unique(np.concatenate([np.cumsum(s[0].view(np.uint64), dtype=np.uint64) for s in some]), return_inverse=True)
         n = np.bincount(place, weights=np.concatenate([s[1] for s in some])).astype(np.int64)
         path = f"{out_dir}/words-{k:06d}-{TaskContext.get().taskAttemptId()}.bin"
         put(path, arrays_bytes({"hashes": h, "counts": n.astype(np.uint64)}))
         return _one(part=k, path=path, words=len(h), tokens=int(n.sum()))
 
-    return stored(docs.mapInArrow(count, PACKED).groupBy("bucket").applyInArrow(write, FILE), "lm-words")
+    return stored(chunks.select(*(n for n, _ in CHUNK)).mapInArrow(count, PACKED).groupBy("bucket").applyInArrow(write, FILE), "lm-words")
 
 
-def count_ngrams(docs: DataFrame, vocabulary: Vocabulary, shards: int) -> DataFrame:
-    """Pairs of words with the word after them (size: none), and counts, packed by shard."""
+# Shards.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, end = vocabulary.look(np.array([END], np.uint64))
-        for _, _, texts in chunks(batches):
-            h, sizes = tokens(texts)
-            _, word = vocabulary.look(h)
-            first = np.zeros(len(h), bool)
-            first[np.cumsum(sizes) - sizes] = True
-            before = np.where(first, end[0], np.concatenate([[-1], word[:-1]]))
-            after = np.where(np.concatenate([first[1:], [True]]), -1, np.concatenate([word[1:], [-1]]))
-            go = (before >= 0) & (word >= 0)
-            a, b, c = before[go], word[go], np.where(after[go] < 0, vocabulary.size, after[go])
-            home = _shard(a, b, shards)
-            order = np.lexsort((c, b, a, home))
-            a, b, c, home = a[order], b[order], c[order], home[order]
-            at = np.flatnonzero(np.r_[True, (np.diff(a) != 0) | (np.diff(b) != 0) | (np.diff(c) != 0)]) if len(a) else np.zeros(0, np.int64)
-            yield _batch(list(_deal(home[at], [a[at], b[at], c[at], np.diff(np.r_[at, len(a)])], 0)))
-
-    return docs.mapInArrow(count, PACKED)
-
-
-def write_shards(grams: DataFrame, vocabulary: Vocabulary, out_dir: str) -> DataFrame:
-    """The trie's shards; returns (kind 0: shard, path) and (kind 1: vocabulary part, packed word and mass of its pairs)."""
+
+def _shard(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix64(a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+
+
+def shard_rows(chunks: DataFrame, vocabulary: Vocabulary, shards: int) -> DataFrame:
+    """Each chunk's distinct n-grams with their training counts, packed by shard (bucket)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, c in _read_chunks(batches):
+            home, a, b, after, n, _ = c.grams(vocabulary.look(c.hashes)[1], vocabulary.size, shards)
+            yield _packed([(k, chunk, pack(np.diff(a[x:y], prepend=0), b[x:y], after[x:y], n[x:y])) for k, x, y in _runs(home)])
+
+    return chunks.select(*(n for n, _ in CHUNK)).mapInArrow(run, PACKED)
+
+
+class Asked:
+    """What the chunks ask of a shard: distinct n-grams in order, their training counts, and for each chunk its places among them."""
+
+    def __init__(self, rows: pa.Table, size: int):
+        some = [unpack(d, 4) for d in rows.column("data").to_pylist()]
+        self.chunks, self.cuts = rows.column("chunk").to_pylist(), np.cumsum([len(s[0]) for s in some])[:-1]
+        first, second, third, n = (np.concatenate([np.cumsum(s[i]) if i == 0 else s[i] for s in some]) for i in range(4))
+        self.pairs, which = np.unique(first * size + second, return_inverse=True)
+        key, self.place = np.unique(which * (size + 2) + third, return_inverse=True)
+        self.pair, self.after = np.divmod(key, size + 2)
+        self.count = np.bincount(self.place, weights=n, minlength=len(key)).astype(np.int64)
+
+    def answers(self, found: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(chunk, packed columns) of what was found for each n-gram."""
+        for chunk, at in zip(self.chunks, np.split(self.place, self.cuts), strict=True):
+            yield chunk, pack(*found[:, at])
+
+
+class Shard:
+    """A shard of the trie."""
+
+    def __init__(self, arrays: Arrays):
+        self.arrays, self.levels = arrays, [Sequence(arrays, f"level{k}", b) for k, b in enumerate(arrays.facts["bits"])]
+
+    def find(self, asked: Asked, size: int) -> np.ndarray:
+        """Bytes for each n-gram asked for: mass of its pair, mass that the pair's triples leave (0: no such pair), mass of its triple."""
+        found = np.zeros((3, len(asked.pair)), np.int64)
+        if not len(asked.pair):
+            return found
+        first, second = np.divmod(asked.pairs, size)
+        words, which = np.unique(first, return_inverse=True)
+        context = self.levels[0].find(words)[which]
+        node = np.full(len(first), -1, np.int64)
+        known = np.flatnonzero(context >= 0)
+        node[known] = self.levels[1].find(context[known] * size + second[known])
+        known = np.flatnonzero(node[asked.pair] >= 0)
+        at = node[asked.pair[known]]
+        found[0, known], found[1, known] = self.arrays.pair_mass[at], self.arrays.pair_left[at]
+        inside = asked.after[known] < size
+        known, at = known[inside], at[inside]
+        leaf = self.levels[2].find(at * size + asked.after[known])
+        found[2, known[leaf >= 0]] = self.arrays.triple_mass[leaf[leaf >= 0]]
+        return found
+
+
+#: Rows of three kinds: the path of a shard; for a part of the vocabulary, words and the masses of their pairs; a chunk's answers.
+MADE = "kind int, bucket int, chunk long, data binary"
+SHARD, USED, ANSWER = 0, 1, 2
+
+
+def _made(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
+    k, b, c, d = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.table([pa.array(k, pa.int32()), pa.array(b, pa.int32()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], ["kind", "bucket", "chunk", "data"])
+
+
+def write_shards(grams: DataFrame, vocabulary: Vocabulary, out_dir: str, answer: bool) -> DataFrame:
+    """Writes the trie's shards (MADE)."""
     size = vocabulary.size
 
     def write(key: tuple, rows: pa.Table) -> pa.Table:
-        some = [unpack(d, 4) for d in rows.column("data").to_pylist()]
-        a, b, c, n = (np.concatenate([s[i] for s in some]) for i in range(4))
-        order = np.lexsort((c, b, a))
-        a, b, c, n = a[order], b[order], c[order], n[order]
-        new_pair = np.r_[True, (np.diff(a) != 0) | (np.diff(b) != 0)]
-        at = np.flatnonzero(new_pair | np.r_[True, np.diff(c) != 0])
-        n = np.add.reduceat(n, at)
-        a, b, c = a[at], b[at], c[at]
-        heads = np.flatnonzero(new_pair[at])
-        pair = np.cumsum(new_pair[at]) - 1
-        pair_n = np.add.reduceat(n, heads)
-        pa_, pb = a[heads], b[heads]
+        without_cycles()
+        shard, asked = key[0].as_py(), Asked(rows, size)
+        learnt = asked.count > 0
+        n, c = asked.count[learnt], asked.after[learnt]
+        kept, pair = np.unique(asked.pair[learnt], return_inverse=True)
+        pairs, pair_n = asked.pairs[kept], np.bincount(pair, weights=n, minlength=len(kept)).astype(np.int64)
+        pa_, pb = np.divmod(pairs, size)
         # Level 0: first words; level 1: pairs; level 2: triples.
         first, context = np.unique(pa_, return_inverse=True)
-        mass = (pair_n - DISCOUNT) / vocabulary.counts_of(pa_)
+        mass = quantise((pair_n - DISCOUNT) / vocabulary.counts_of(pa_))
         leaf = c < size
         node = pair[leaf]
         leaf_mass = quantise((n[leaf] - DISCOUNT) / pair_n[node])
@@ -389,15 +464,30 @@ def write_shards(grams: DataFrame, vocabulary: Vocabulary, out_dir: str) -> Data
             more, width = elias_fano(values, max(1, universe), f"level{k}")
             arrays |= more
             bits.append(width)
-        mass = quantise(mass)
-        path = f"{out_dir}/shard-{key[0].as_py():06d}-{TaskContext.get().taskAttemptId()}.bin"
+        path = f"{out_dir}/shard-{shard:06d}-{TaskContext.get().taskAttemptId()}.bin"
         put(path, arrays_bytes(arrays | {"pair_mass": mass, "pair_left": quantise(np.maximum(left, 1e-9)), "triple_mass": leaf_mass}, bits=bits))
         used = np.bincount(context, weights=MASS[mass], minlength=len(first))
-        part = np.searchsorted(vocabulary.bases, first, "right") - 1
-        out = [(key[0].as_py(), 0, path.encode()), *_deal(part, [first, used.view(np.int64)], 1)]
-        return pa.Table.from_batches([_batch(out)])
+        out = [(SHARD, shard, 0, path.encode())]
+        out += [(USED, k, 0, pack(first[a:b], used[a:b].view(np.int64))) for k, a, b in _runs(vocabulary.part_of(first))]
+        if answer:
+            out += [(ANSWER, shard, chunk, data) for chunk, data in asked.answers(Shard(Arrays(path)).find(asked, size))]
+        return _made(out)
+
+    return stored(grams.groupBy("bucket").applyInArrow(write, MADE), "lm-shards")
 
-    return stored(grams.groupBy("bucket").applyInArrow(write, PACKED), "lm-shards")
+
+def ask_shards(grams: DataFrame, model: Model) -> DataFrame:
+    """The answers of a model's shards to n-grams (MADE)."""
+    size, paths = model.vocabulary.size, model.shards
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        without_cycles()
+        shard = key[0].as_py()
+        asked = Asked(rows, size)
+        found = Shard(Arrays(paths[shard])).find(asked, size) if paths[shard] else np.zeros((3, len(asked.pair)), np.int64)
+        return _made([(ANSWER, shard, chunk, data) for chunk, data in asked.answers(found)])
+
+    return grams.groupBy("bucket").applyInArrow(run, MADE)
 
 
 def write_left(used: DataFrame, vocabulary: Vocabulary, out_dir: str) -> DataFrame:
@@ -415,35 +505,96 @@ def write_left(used: DataFrame, vocabulary: Vocabulary, out_dir: str) -> DataFra
     return stored(used.groupBy("bucket").applyInArrow(write, FILE), "lm-left")
 
 
-def fit_lm(docs: DataFrame, out_dir: str, text_col: str = "text") -> Model:
-    """Learn from all rows of ``docs``. The driver holds paths and totals of files, as many as there are shuffle partitions."""
-    parts = partitions(docs.sparkSession)
-    rows = docs.select(F.lit(0).cast("long").alias("id"), F.lit(False).alias("flag"), F.col(text_col).alias("text"))
-    files = {r["part"]: r for r in count_words(rows, out_dir, parts).collect()}
+# Scores.
+
+
+class Model:
+    """What the workers need to score: paths and totals; files are opened when first used."""
+
+    def __init__(self, vocabulary: Vocabulary, total: int, distinct: int, left: list[str | None], shards: list[str | None]):
+        self.vocabulary, self.total, self.distinct, self.left, self.shards, self.files = vocabulary, total, distinct, left, shards, Files()
+
+    def _left_of(self, numbers: np.ndarray) -> np.ndarray:
+        """Mass that the pairs of each word leave, by increasing numbers; 1 for words without a number, which come first or anywhere."""
+        out = np.ones(len(numbers))
+        known = np.flatnonzero(numbers >= 0)
+        for k, a, b in _runs(self.vocabulary.part_of(numbers[known])):
+            if self.left[k] is not None:
+                at = known[a:b]
+                out[at] = MASS[self.files[self.left[k]].left[numbers[at] - self.vocabulary.bases[k]]]
+        return out
+
+    def score(self, c: Chunk, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Known tokens, sum of log10 unigram probabilities and log10 probability of each text of a chunk, by what its n-grams' shards answered."""
+        count, number = self.vocabulary.look(c.hashes)
+        *_, place = c.grams(number, self.vocabulary.size, len(self.shards))
+        found = np.concatenate([np.zeros((3, 0), np.int64), *(np.stack(unpack(answers[k], 3)) for k in sorted(answers))], axis=1)
+        found = np.c_[found, np.zeros(3, np.int64)]  # the last is for place -1
+        one = ((count + ADDED) / (self.total + ADDED * (self.distinct + 1)))[c.place]
+        n = len(c.place)
+        first = np.zeros(n, bool)
+        first[c.begin] = True
+        before = np.where(first, np.searchsorted(c.hashes, np.uint64(END)), np.r_[0, c.place[:-1]][:n])
+        two = self._left_of(number)[before] * one + MASS[found[0, place]]
+        # The pair that ends at the token before is this token's context.
+        context = np.where(first, len(found[0]) - 1, np.r_[-1, place[:-1]][:n])
+        p = np.where(found[1, context] > 0, MASS[found[2, context]] + MASS[found[1, context]] * two, two)
+        add = lambda x: np.add.reduceat(x, c.begin) if n else np.zeros(0)
+        return add((count > 0)[c.place].astype(np.int64)), add(np.log10(one)), add(np.log10(p))
+
+
+def _scores(chunks: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
+    schema = T.StructType([T.StructField("id", chunks.schema["ids"].dataType.elementType), T.StructField("train", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+
+    def run(key: tuple, rows: pa.Table, answered: pa.Table) -> pa.Table:
+        without_cycles()
+        c = Chunk.read(rows.select([n for n, _ in CHUNK]).to_pylist()[0])
+        known, base, score = model.score(c, dict(zip(answered.column("bucket").to_pylist(), answered.column("data").to_pylist(), strict=True)))
+        ids = rows.column("ids").combine_chunks().flatten()
+        return pa.table([ids, rows.column("train").combine_chunks().flatten(), pa.array(c.sizes), pa.array(known), pa.array(base), pa.array(score)], schema.names)
+
+    return chunks.groupBy("chunk").cogroup(answers.select("chunk", "bucket", "data").groupBy("chunk")).applyInArrow(run, schema)
+
+
+def _fit(chunks: DataFrame, out_dir: str, answer: bool) -> tuple[Model, DataFrame]:
+    """The model of all training texts of some chunks, and its answers to them. The driver holds paths and totals of files, as many as there are shuffle partitions."""
+    parts = partitions(chunks.sparkSession)
+    files = {r["part"]: r for r in count_words(chunks, out_dir, parts).collect()}
     words = [files[k]["words"] if k in files else 0 for k in range(parts)]
     vocabulary = Vocabulary([files[k]["path"] if k in files else None for k in range(parts)], np.concatenate([[0], np.cumsum(words)[:-1]]).tolist(), max(1, sum(words)))
-    made = write_shards(count_ngrams(rows, vocabulary, parts), vocabulary, out_dir)
-    shards = {r["bucket"]: bytes(r["data"]).decode() for r in made.where("kind = 0").collect()}
-    left = {r["part"]: r["path"] for r in write_left(made.where("kind = 1"), vocabulary, out_dir).collect()}
-    return Model(vocabulary, sum(r["tokens"] for r in files.values()), sum(words), [left.get(k) for k in range(parts)], [shards.get(k) for k in range(parts)])
+    made = write_shards(shard_rows(chunks, vocabulary, parts), vocabulary, out_dir, answer)
+    shards = {r["bucket"]: bytes(r["data"]).decode() for r in made.where(F.col("kind") == SHARD).collect()}
+    left = {r["part"]: r["path"] for r in write_left(made.where(F.col("kind") == USED), vocabulary, out_dir).collect()}
+    model = Model(vocabulary, sum(r["tokens"] for r in files.values()), sum(words), [left.get(k) for k in range(parts)], [shards.get(k) for k in range(parts)])
+    return model, made.where(F.col("kind") == ANSWER)
 
 
-SCORES = "id long, flag boolean, n_tokens long, n_known long, base_score double, score double"
+def fit_lm(docs: DataFrame, out_dir: str, text_col: str = "text") -> Model:
+    """Learn from all rows of ``docs``; null texts are empty. An empty table gives a model that knows nothing."""
+    rows = docs.select(F.lit(0).cast("long").alias("id"), F.lit(True).alias("train"), F.col(text_col).alias("text"))
+    return _fit(tokenise(rows), out_dir, answer=False)[0]
 
 
 def score_lm(docs: DataFrame, model: Model) -> DataFrame:
-    """(SCORES) of rows (id, flag, text). A null text is empty: one token, its end."""
+    """(id, train, n_tokens, n_known, base_score, score) of rows (id, train, text).
+
+    One row for each, whatever its id. A null or empty text is one token, its end; texts may be of any length. Other
+    columns are not read. An empty table gives no rows.
+    """
+    chunks = tokenise(docs)
+    return _scores(chunks, ask_shards(shard_rows(chunks, model.vocabulary, len(model.shards)), model), model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, flags, texts in chunks(batches):
-            n, known, base, score = model.score(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(flags, pa.bool_()), pa.array(n), pa.array(known), pa.array(base), pa.array(score)], [x.split()[0] for x in SCORES.split(", ")])
 
-    return docs.mapInArrow(run, SCORES)
+def fit_and_score(docs: DataFrame, out_dir: str) -> tuple[Model, DataFrame]:
+    """The model of the rows (id, train, text) that train, and the scores of all, in one round of the shards; see ``score_lm``."""
+    chunks = tokenise(docs)
+    model, answers = _fit(chunks, out_dir, answer=True)
+    return model, _scores(chunks, answers, model)
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10) == 0
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), held_out.alias("flag"), "text")
-    model = fit_lm(docs.where(~F.col("flag")), scratch(spark, "lm"))
-    return score_lm(docs, model).select(F.col("id").alias("doc_id"), F.col("flag").alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    """Scores of all documents by a model of those whose crc32 of the id as text, modulo 10, is not 0."""
+    train = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10) != 0
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), train.alias("train"), "text")
+    model, scores = fit_and_score(docs, scratch(spark, "lm"))
+    return scores.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -19,11 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, stored, table
+from .common import mix64, pack, partitions, stored, table, unpack
 
 WORDS = 5
 #: Two sets are like if SHARE[1] * intersection >= SHARE[0] * union.
@@ -47,12 +46,6 @@ class _Words(dict):
 _words = _Words()
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all n-grams of the texts (A-Z in lower case), and the index of each one's text; repeats are not removed.
 
@@ -77,18 +70,7 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         for k in range(WORDS - 1):
             has = sizes[short] > k
             s[has] += flat[begin[has] + k] * _MULTIPLIERS[k]
-        return _mix(np.concatenate([h, s])), np.concatenate([owner[full], short])
-
-
-def pack(*columns: np.ndarray) -> bytes:
-    """Columns of whole numbers, byte planes together, compressed."""
-    planes = [np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
-
-
-def unpack(data: bytes, n: int) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(n, 8, -1)
-    return [np.ascontiguousarray(p.T).reshape(-1).view("<i8") for p in raw]
+        return mix64(np.concatenate([h, s])), np.concatenate([owner[full], short])
 
 
 def _deal(bucket: np.ndarray, columns: list[np.ndarray], kind: int) -> Iterator[tuple[int, int, bytes]]:
@@ -109,7 +91,7 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 def _doc_bucket(ids: np.ndarray, n: int) -> np.ndarray:
-    return (_mix(ids.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+    return (mix64(ids.view(np.uint64)) % np.uint64(n)).astype(np.int64)
 
 
 # Kinds of packed rows: of n-grams (hash in order, as differences; document), and of documents (document, number of n-grams).

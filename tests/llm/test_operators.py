@@ -332,47 +332,7 @@ def test_masses_are_rounded_down():
 
 
 def plain_model(rows):
-    """log10 probability of each text, by dictionaries."""
-    text = [(i, [*brute.WORD.findall(brute.lower(t)), None]) for i, t in rows]
-    learn = [w for i, w in text if not brute.held_out(i, 10)]
-    c1 = collections.Counter(x for w in learn for x in w)
-    c2 = collections.Counter(p for w in learn for p in zip([None, *w], w))
-    c3 = collections.Counter(p for w in learn for p in zip([None, *w], w, w[1:]))
-    total, distinct = sum(c1.values()), len(c1)
-    k2 = {p: n for p, n in c2.items() if n >= 2 and min(c1[x] for x in p) >= 2}
-    k3 = {p: n for p, n in c3.items() if n >= 2 and p[:2] in k2 and c1[p[2]] >= 2}
-    left1, left2 = collections.defaultdict(lambda: 1.0), collections.defaultdict(lambda: 1.0)
-    for (a, _), n in k2.items():
-        left1[a] -= (n - 0.75) / c1[a]
-    for (a, b, _), n in k3.items():
-        left2[a, b] -= (n - 0.75) / c2[a, b]
-    out = []
-    for i, w in text:
-        base = score = 0.0
-        for k, x in enumerate(w):
-            one = (c1[x] + 0.1) / (total + 0.1 * (distinct + 1))
-            a = w[k - 1] if k else None
-            p = left1[a] * one + ((k2[a, x] - 0.75) / c1[a] if (a, x) in k2 else 0)
-            h = (w[k - 2] if k > 1 else None, a)
-            if k and h in k2:
-                p = left2[h] * p + ((k3[*h, x] - 0.75) / c2[h] if (*h, x) in k3 else 0)
-            base += math.log10(one)
-            score += math.log10(p)
-        out.append((i, len(w), sum(c1[x] > 0 for x in w), total, base, score))
-    return out
-
-
-def test_op7_is_a_plain_model(spark, real):
-    expected = {r[0]: r for r in plain_model([(r["doc_id"], r["text"]) for r in real.collect()])}
-    for r in lm.op7_lm_scoring(spark, SF).collect():
-        i, n, known, total, base, score = expected[r["doc_id"]]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (n, known, total, brute.held_out(i, 10))
-        assert r["base_score"] == pytest.approx(base)
-        assert abs(r["score"] - score) <= 0.06 * n  # bytes for masses
-
-
-def whole_model(rows):
-    """{id: (held out, tokens, log10 probability)}, by dictionaries of all n-grams."""
+    """{id: (held out, tokens, known, training tokens, log10 unigram probability, log10 probability)}, by dictionaries of all n-grams."""
     text = [(i, [*brute.WORD.findall(brute.lower(t)), None]) for i, t in rows]
     learn = [w for i, w in text if not brute.held_out(i, 10)]
     c1 = collections.Counter(x for w in learn for x in w)
@@ -382,34 +342,61 @@ def whole_model(rows):
     types1, types2 = collections.Counter(a for a, _ in c2), collections.Counter((a, b) for a, b, _ in c3)
     out = {}
     for i, w in text:
-        score = 0.0
+        base = score = 0.0
         for k, x in enumerate(w):
             a, h = w[k - 1] if k else None, (w[k - 2] if k > 1 else None, w[k - 1] if k else None)
             p = (c1[x] + 0.1) / (total + 0.1 * (distinct + 1))
+            base += math.log10(p)
             if c1[a]:
                 p = max(c2[a, x] - 0.75, 0) / c1[a] + 0.75 * types1[a] / c1[a] * p
             if k and c2[h]:
                 p = max(c3[*h, x] - 0.75, 0) / c2[h] + 0.75 * types2[h] / c2[h] * p
             score += math.log10(p)
-        out[i] = brute.held_out(i, 10), len(w), score
+        out[i] = brute.held_out(i, 10), len(w), sum(c1[x] > 0 for x in w), total, base, score
     return out
 
 
-def test_op7_keeps_every_ngram(spark, real):
-    expected = whole_model([(r["doc_id"], r["text"]) for r in real.collect()])
-    got = {r["doc_id"]: r["score"] for r in lm.op7_lm_scoring(spark, SF).collect()}
-    for i, (_, n, score) in expected.items():
-        assert abs(got[i] - score) <= 0.06 * n  # bytes for masses
+@pytest.mark.parametrize("tokens", [2_500_000, 3000])
+def test_op7_is_a_plain_model(spark, real, monkeypatch, tokens):
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", tokens)
+    expected = plain_model([(r["doc_id"], r["text"]) for r in real.collect()])
+    for r in lm.op7_lm_scoring(spark, SF).collect():
+        held, n, known, total, base, score = expected[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (n, known, total, held)
+        assert r["base_score"] == pytest.approx(base)
+        assert abs(r["score"] - score) <= 0.06 * n  # bytes for masses
 
 
 def test_op7_odd_rows(spark, docs, empty, tmp_path):
-    rows = docs.select(F.col("doc_id").alias("id"), F.lit(False).alias("flag"), "text")
-    model = lm.fit_lm(rows, f"file://{tmp_path}/lm")
-    got = lm.score_lm(rows, model).collect()
+    rows = docs.withColumns({"id": F.col("doc_id"), "train": F.lit(True), "chunk": F.lit(1), "data": F.lit(2)})
+    model, scores = lm.fit_and_score(rows, f"file://{tmp_path}/lm")
+    got = scores.collect()
     assert sorted(r["n_tokens"] for r in got) == sorted(len(brute.WORD.findall(r[1] or "")) + 1 for r in brute.ROWS)
+    assert sorted(map(str, (r["id"] for r in got))) == sorted(str(r[0]) for r in brute.ROWS)
+    again = lm.score_lm(rows, lm.fit_lm(docs, f"file://{tmp_path}/again")).collect()
+    rounded = lambda found: sorted((str(r["id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in found)
+    assert rounded(again) == rounded(got)
     nothing = lm.fit_lm(empty.select("text"), f"file://{tmp_path}/none")
     assert nothing.total == 0
     assert all(r["base_score"] == pytest.approx(0) and math.isfinite(r["score"]) for r in lm.score_lm(rows, nothing).collect())
+    named = rows.withColumn("id", F.concat(F.lit("x"), F.col("doc_id").cast("string")))
+    assert {r["id"] for r in lm.score_lm(named, model).collect()} == {None, *(f"x{i}" for i in range(9))}
+    assert lm.score_lm(rows.where("false"), model).count() == 0
+
+
+def test_wide_chunks_have_the_same_ngrams():
+    """Where a triple of numbers would not fit in a word, n-grams are numbered in two steps."""
+    rng = np.random.default_rng(3)
+    hashes = np.unique(np.r_[rng.integers(0, 1 << 63, 500).astype(np.uint64), np.uint64(lm.END)])
+    end, place = int(np.searchsorted(hashes, np.uint64(lm.END))), rng.integers(0, len(hashes), 4000)
+    place[99::100] = end
+    one = lm.Chunk(hashes, place, np.full(40, 100), np.arange(40) % 3 > 0)
+    many = lm.Chunk(np.unique(np.r_[hashes, rng.integers(0, 1 << 63, 1 << 20).astype(np.uint64)]), None, one.sizes, np.arange(40) % 3 > 0)
+    many.place = np.searchsorted(many.hashes, hashes)[place]
+    numbers = np.where(np.arange(len(many.hashes)) % 7, np.arange(len(many.hashes)), -1)
+    few = numbers[np.searchsorted(many.hashes, hashes)]
+    for a, b in zip(one.grams(few, 1 << 21, 7), many.grams(numbers, 1 << 21, 7), strict=True):
+        assert (a == b).all()
 
 
 # Toxicity.
