@@ -67,6 +67,12 @@ def remove(spark: SparkSession, folders: list[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def forget(table: DataFrame) -> None:
+    """Delete a table that ``stored`` made, once nothing will read it again."""
+    folders = {f.rpartition("/")[0] for f in table.inputFiles()}
+    remove(table.sparkSession, sorted(f for f in folders if f.rpartition("/")[0].endswith("/kinweave")))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -34,14 +34,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, open_store, pack, partitions, put, scratch, stored, table, unpack, without_cycles
+from .common import forget, mix64, open_store, pack, partitions, put, remove, scratch, stored, table, unpack, without_cycles
 
 DISCOUNT = 0.75
 ADDED = 0.1
-CHUNK_TOKENS = 2_500_000  # tokens numbered together, at most, but for the rest of the last text
+CHUNK_TOKENS = 1_500_000  # tokens numbered together, at most, but for the rest of the last text
 END = 0x1D8E4E27C47D124F  # stands for the end among hashes
 FLOOR = -10.0  # log10 of the least mass that a byte stands for
 STEPS = 255 / -FLOOR
+UNITS = 1 << 40  # parts of the mass 1 in which sums of masses are passed on, rounded up
+SHARDS = 2  # for each shuffle partition
 OPEN_FILES = 64  # files of arrays that a worker keeps open
 
 
@@ -192,53 +194,50 @@ class _Index(dict):
 
 
 class Chunk:
-    """Tokens of some texts as numbers in the chunk's sorted hashes."""
+    """Tokens of some texts as places in the chunk's sorted word numbers (-1: unknown)."""
 
-    def __init__(self, hashes: np.ndarray, place: np.ndarray, sizes: np.ndarray, train: np.ndarray):
-        self.hashes, self.place, self.sizes, self.begin = hashes, place, sizes, np.cumsum(sizes) - sizes
-        self.train = np.repeat(train, sizes)
+    def __init__(self, numbers: np.ndarray, place: np.ndarray, sizes: np.ndarray, train: np.ndarray, end: int):
+        self.numbers, self.place, self.sizes, self.begin = numbers, place, sizes, np.cumsum(sizes) - sizes
+        self.train, self.end = np.repeat(train, sizes), int(np.searchsorted(numbers, end))
+        self.first = np.zeros(len(place), bool)
+        self.first[self.begin] = True
 
-    @staticmethod
-    def read(row: dict) -> Chunk:
-        place, sizes, step = (unpack(row[c], 1)[0] for c in ("place", "sizes", "hashes"))
-        return Chunk(np.cumsum(step.view(np.uint64), dtype=np.uint64), place, sizes, np.array(row["train"], bool))
-
-    def grams(self, numbers: np.ndarray, size: int, shards: int) -> tuple:
-        """Distinct n-grams by shard: shard, words, training count; and for each token the place of the n-gram that begins before it.
+    def grams(self, size: int, shards: int) -> tuple:
+        """Distinct n-grams by shard: shard, words, training count, whether the pair is a new one; and for each token the n-gram that begins before it.
 
         An n-gram is a pair, of the token and that before it, with the token after it (size: none, size + 1: unknown).
         Those whose pair holds an unknown word are left out (place -1).
         """
-        n, u = len(self.place), len(self.hashes)
-        first = np.zeros(n, bool)
-        first[self.begin] = True
-        last = np.r_[first[1:], True][:n]
-        before = np.where(first, np.searchsorted(self.hashes, np.uint64(END)), np.r_[0, self.place[:-1]][:n])
-        after = np.where(last, u, np.r_[self.place[1:], 0][:n])
-        go = np.flatnonzero((numbers[before] >= 0) & (numbers[self.place] >= 0)) if n else np.zeros(0, np.int64)
-        pair = before[go] * u + self.place[go]
+        n, u, numbers = len(self.place), len(self.numbers), self.numbers
+        before = np.where(self.first, self.end, np.r_[0, self.place[:-1]][:n])
+        after = np.where(np.r_[self.first[1:], True][:n], u, np.r_[self.place[1:], 0][:n])
+        go = np.flatnonzero((numbers[before] >= 0) & (numbers[self.place] >= 0))
+        pair, after, train = before[go] * u + self.place[go], after[go], self.train[go]
+        del before
         if u < 1 << 20:
-            key, inverse = np.unique(pair * (u + 1) + after[go], return_inverse=True)
+            key, inverse = np.unique(pair * (u + 1) + after, return_inverse=True)
             pairs, c = np.divmod(key, u + 1)
         else:  # the triple would not fit in 63 bits
             distinct, which = np.unique(pair, return_inverse=True)
-            key, inverse = np.unique(which * (u + 1) + after[go], return_inverse=True)
+            key, inverse = np.unique(which * (u + 1) + after, return_inverse=True)
             pairs, c = np.divmod(key, u + 1)
             pairs = distinct[pairs]
-        a, b = np.divmod(pairs, u) if u else (pairs, pairs)
-        a, b = numbers[a], numbers[b]
-        c = np.r_[np.where(numbers < 0, size + 1, numbers), size][c]
-        count = np.bincount(inverse, weights=self.train[go], minlength=len(key)).astype(np.int64)
+        del pair, after, key
+        count = np.bincount(inverse, weights=train, minlength=len(c)).astype(np.int64)
+        a, b = np.divmod(pairs, max(1, u))
+        a, b, c = numbers[a], numbers[b], np.r_[np.where(numbers < 0, size + 1, numbers), size][c]
         home = _shard(a, b, shards)
         order = np.argsort(home.astype(np.uint16) if shards < 1 << 16 else home, kind="stable")
         where = np.empty(len(order), np.int64)
         where[order] = np.arange(len(order))
         place = np.full(n, -1, np.int64)
         place[go] = where[inverse]
-        return home[order], a[order], b[order], c[order], count[order], place
+        pairs = pairs[order]
+        return home[order], a[order], b[order], c[order], count[order], np.r_[True, pairs[1:] != pairs[:-1]][: len(pairs)], place
 
 
-CHUNK = [("chunk", T.LongType()), ("train", T.ArrayType(T.BooleanType())), ("sizes", T.BinaryType()), ("hashes", T.BinaryType()), ("place", T.BinaryType())]
+#: A chunk: ids and flags of its rows, tokens of each, its words (hashes, later numbers, as differences) and each token's place among them.
+CHUNK = [("chunk", T.LongType()), ("train", T.ArrayType(T.BooleanType())), ("sizes", T.BinaryType()), ("words", T.BinaryType()), ("place", T.BinaryType())]
 
 
 def tokenise(docs: DataFrame) -> DataFrame:
@@ -280,11 +279,15 @@ def tokenise(docs: DataFrame) -> DataFrame:
     return stored(docs.select("id", "train", "text").mapInArrow(run, schema), "lm-chunks")
 
 
-def _read_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk]]:
-    without_cycles()
+def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, places, sizes and flags of a chunk."""
+    words, place, sizes = (unpack(row[c], 1)[0] for c in ("words", "place", "sizes"))
+    return np.cumsum(words.view(np.uint64), dtype=np.uint64), place, sizes, np.array(row["train"], bool)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        for row in batch.to_pylist():
-            yield row["chunk"], Chunk.read(row)
+        yield from batch.to_pylist()
 
 
 # Vocabulary.
@@ -305,6 +308,7 @@ class Vocabulary:
 
     def __init__(self, paths: list[str | None], bases: list[int], size: int):
         self.paths, self.bases, self.size, self.files = paths, np.array(bases, np.int64), size, Files()
+        self.end = int(self.look(np.array([END], np.uint64))[1][0])
 
     def part(self, k: int) -> Arrays:
         return self.files[self.paths[k]]
@@ -350,9 +354,11 @@ def count_words(chunks: DataFrame, out_dir: str, parts: int) -> DataFrame:
     """Vocabulary files of training texts by ranges of hashes (FILE)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, c in _read_chunks(batches):
-            n = np.bincount(c.place[c.train], minlength=len(c.hashes))
-            h, n = c.hashes[n > 0], n[n > 0]
+        without_cycles()
+        for row in _rows(batches):
+            chunk, (h, place, sizes, train) = row["chunk"], _read(row)
+            n = np.bincount(place[np.repeat(train, sizes)], minlength=len(h))
+            h, n = h[n > 0], n[n > 0]
             yield _packed([(k, chunk, pack(np.diff(h[a:b], prepend=np.uint64(0)).view(np.int64), n[a:b])) for k, a, b in _runs(_range_of(h, parts))])
 
     def write(key: tuple, rows: pa.Table) -> pa.Table:
@@ -366,6 +372,24 @@ def count_words(chunks: DataFrame, out_dir: str, parts: int) -> DataFrame:
     return stored(chunks.select(*(n for n, _ in CHUNK)).mapInArrow(count, PACKED).groupBy("bucket").applyInArrow(write, FILE), "lm-words")
 
 
+def number_words(chunks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """The chunks with numbers of words in place of hashes, those without a number together; written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        without_cycles()
+        for batch in batches:
+            words, places = [], []
+            for row in batch.select([n for n, _ in CHUNK]).to_pylist():
+                h, place, *_ = _read(row)
+                numbers, where = np.unique(vocabulary.look(h)[1], return_inverse=True)
+                words.append(pack(np.diff(numbers + 1, prepend=0)))
+                places.append(pack(where[place]))
+            columns = {"words": pa.array(words, pa.binary()), "place": pa.array(places, pa.binary())}
+            yield pa.RecordBatch.from_arrays([columns.get(n, batch.column(n)) for n in batch.schema.names], batch.schema.names)
+
+    return stored(chunks.mapInArrow(run, chunks.schema), "lm-numbers")
+
+
 # Shards.
 
 
@@ -374,33 +398,53 @@ def _shard(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         return (mix64(a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
 
 
+def _both(one: bytes, two: bytes) -> bytes:
+    return struct.pack("<I", len(one)) + one + two
+
+
+def _apart(data: bytes) -> tuple[bytes, bytes]:
+    (n,) = struct.unpack("<I", data[:4])
+    return data[4 : 4 + n], data[4 + n :]
+
+
+def _chunk(row: dict, vocabulary: Vocabulary) -> Chunk:
+    words, *rest = _read(row)
+    return Chunk(words.view(np.int64) - 1, *rest, vocabulary.end)
+
+
 def shard_rows(chunks: DataFrame, vocabulary: Vocabulary, shards: int) -> DataFrame:
-    """Each chunk's distinct n-grams with their training counts, packed by shard (bucket)."""
+    """Each chunk's distinct n-grams, packed by shard (bucket): pairs and how many n-grams each begins; words after them and training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, c in _read_chunks(batches):
-            home, a, b, after, n, _ = c.grams(vocabulary.look(c.hashes)[1], vocabulary.size, shards)
-            yield _packed([(k, chunk, pack(np.diff(a[x:y], prepend=0), b[x:y], after[x:y], n[x:y])) for k, x, y in _runs(home)])
+        without_cycles()
+        for row in _rows(batches):
+            home, a, b, after, n, new, _ = _chunk(row, vocabulary).grams(vocabulary.size, shards)
+            out = []
+            for k, x, y in _runs(home):
+                heads = np.flatnonzero(new[x:y]) + x
+                out.append((k, row["chunk"], _both(pack(np.diff(a[heads], prepend=0), b[heads], np.diff(heads, append=y)), pack(after[x:y], n[x:y]))))
+            yield _packed(out)
 
     return chunks.select(*(n for n, _ in CHUNK)).mapInArrow(run, PACKED)
 
 
 class Asked:
-    """What the chunks ask of a shard: distinct n-grams in order, their training counts, and for each chunk its places among them."""
+    """What the chunks ask of a shard: distinct pairs and n-grams in order, training counts, and each chunk's places among them."""
 
     def __init__(self, rows: pa.Table, size: int):
-        some = [unpack(d, 4) for d in rows.column("data").to_pylist()]
-        self.chunks, self.cuts = rows.column("chunk").to_pylist(), np.cumsum([len(s[0]) for s in some])[:-1]
-        first, second, third, n = (np.concatenate([np.cumsum(s[i]) if i == 0 else s[i] for s in some]) for i in range(4))
-        self.pairs, which = np.unique(first * size + second, return_inverse=True)
-        key, self.place = np.unique(which * (size + 2) + third, return_inverse=True)
+        some = [_apart(d) for d in rows.column("data").to_pylist()]
+        pairs, grams = [unpack(x, 3) for x, _ in some], [unpack(x, 2) for _, x in some]
+        self.chunks, self.pair_cuts, self.cuts = rows.column("chunk").to_pylist(), np.cumsum([len(x[0]) for x in pairs])[:-1], np.cumsum([len(x[0]) for x in grams])[:-1]
+        self.pairs, self.pair_place = np.unique(np.concatenate([np.cumsum(x[0]) * size + x[1] for x in pairs]), return_inverse=True)
+        key = np.repeat(self.pair_place, np.concatenate([x[2] for x in pairs])) * (size + 2) + np.concatenate([x[0] for x in grams])
+        key, self.place = np.unique(key, return_inverse=True)
         self.pair, self.after = np.divmod(key, size + 2)
-        self.count = np.bincount(self.place, weights=n, minlength=len(key)).astype(np.int64)
+        self.count = np.bincount(self.place, weights=np.concatenate([x[1] for x in grams]), minlength=len(key)).astype(np.int64)
 
-    def answers(self, found: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        """(chunk, packed columns) of what was found for each n-gram."""
-        for chunk, at in zip(self.chunks, np.split(self.place, self.cuts), strict=True):
-            yield chunk, pack(*found[:, at])
+    def answers(self, of_pairs: np.ndarray, of_grams: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(chunk, packed columns) of what was found for each of its pairs and n-grams."""
+        for chunk, x, y in zip(self.chunks, np.split(self.pair_place, self.pair_cuts), np.split(self.place, self.cuts), strict=True):
+            yield chunk, _both(pack(*of_pairs[:, x]), pack(of_grams[y]))
 
 
 class Shard:
@@ -409,25 +453,22 @@ class Shard:
     def __init__(self, arrays: Arrays):
         self.arrays, self.levels = arrays, [Sequence(arrays, f"level{k}", b) for k, b in enumerate(arrays.facts["bits"])]
 
-    def find(self, asked: Asked, size: int) -> np.ndarray:
-        """Bytes for each n-gram asked for: mass of its pair, mass that the pair's triples leave (0: no such pair), mass of its triple."""
-        found = np.zeros((3, len(asked.pair)), np.int64)
-        if not len(asked.pair):
-            return found
+    def find(self, asked: Asked, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes: for each pair its mass and that which its triples leave (0: no such pair), for each n-gram the mass of the triple."""
+        of_pairs, of_grams = np.zeros((2, len(asked.pairs)), np.int64), np.zeros(len(asked.pair), np.int64)
         first, second = np.divmod(asked.pairs, size)
         words, which = np.unique(first, return_inverse=True)
         context = self.levels[0].find(words)[which]
         node = np.full(len(first), -1, np.int64)
         known = np.flatnonzero(context >= 0)
         node[known] = self.levels[1].find(context[known] * size + second[known])
-        known = np.flatnonzero(node[asked.pair] >= 0)
-        at = node[asked.pair[known]]
-        found[0, known], found[1, known] = self.arrays.pair_mass[at], self.arrays.pair_left[at]
-        inside = asked.after[known] < size
-        known, at = known[inside], at[inside]
-        leaf = self.levels[2].find(at * size + asked.after[known])
-        found[2, known[leaf >= 0]] = self.arrays.triple_mass[leaf[leaf >= 0]]
-        return found
+        known = np.flatnonzero(node >= 0)
+        of_pairs[:, known] = self.arrays.pair_mass[node[known]], self.arrays.pair_left[node[known]]
+        node = node[asked.pair]
+        known = np.flatnonzero((node >= 0) & (asked.after < size))
+        leaf = self.levels[2].find(node[known] * size + asked.after[known])
+        of_grams[known[leaf >= 0]] = self.arrays.triple_mass[leaf[leaf >= 0]]
+        return of_pairs, of_grams
 
 
 #: Rows of three kinds: the path of a shard; for a part of the vocabulary, words and the masses of their pairs; a chunk's answers.
@@ -466,11 +507,11 @@ def write_shards(grams: DataFrame, vocabulary: Vocabulary, out_dir: str, answer:
             bits.append(width)
         path = f"{out_dir}/shard-{shard:06d}-{TaskContext.get().taskAttemptId()}.bin"
         put(path, arrays_bytes(arrays | {"pair_mass": mass, "pair_left": quantise(np.maximum(left, 1e-9)), "triple_mass": leaf_mass}, bits=bits))
-        used = np.bincount(context, weights=MASS[mass], minlength=len(first))
+        used = np.ceil(np.bincount(context, weights=MASS[mass], minlength=len(first)) * UNITS).astype(np.int64)
         out = [(SHARD, shard, 0, path.encode())]
-        out += [(USED, k, 0, pack(first[a:b], used[a:b].view(np.int64))) for k, a, b in _runs(vocabulary.part_of(first))]
+        out += [(USED, k, 0, pack(np.diff(first[a:b], prepend=0), used[a:b])) for k, a, b in _runs(vocabulary.part_of(first))]
         if answer:
-            out += [(ANSWER, shard, chunk, data) for chunk, data in asked.answers(Shard(Arrays(path)).find(asked, size))]
+            out += [(ANSWER, shard, chunk, data) for chunk, data in asked.answers(*Shard(Arrays(path)).find(asked, size))]
         return _made(out)
 
     return stored(grams.groupBy("bucket").applyInArrow(write, MADE), "lm-shards")
@@ -484,8 +525,8 @@ def ask_shards(grams: DataFrame, model: Model) -> DataFrame:
         without_cycles()
         shard = key[0].as_py()
         asked = Asked(rows, size)
-        found = Shard(Arrays(paths[shard])).find(asked, size) if paths[shard] else np.zeros((3, len(asked.pair)), np.int64)
-        return _made([(ANSWER, shard, chunk, data) for chunk, data in asked.answers(found)])
+        found = Shard(Arrays(paths[shard])).find(asked, size) if paths[shard] else (np.zeros((2, len(asked.pairs)), np.int64), np.zeros(len(asked.pair), np.int64))
+        return _made([(ANSWER, shard, chunk, data) for chunk, data in asked.answers(*found)])
 
     return grams.groupBy("bucket").applyInArrow(run, MADE)
 
@@ -495,7 +536,7 @@ def write_left(used: DataFrame, vocabulary: Vocabulary, out_dir: str) -> DataFra
 
     def write(key: tuple, rows: pa.Table) -> pa.Table:
         k, some = key[0].as_py(), [unpack(d, 2) for d in rows.column("data").to_pylist()]
-        number, mass = np.concatenate([s[0] for s in some]), np.concatenate([s[1] for s in some]).view(np.float64)
+        number, mass = np.concatenate([np.cumsum(s[0]) for s in some]), np.concatenate([s[1] for s in some]) / UNITS
         words = len(vocabulary.part(k).counts)
         left = 1 - np.bincount(number - vocabulary.bases[k], weights=mass, minlength=words)
         path = f"{out_dir}/left-{k:06d}-{TaskContext.get().taskAttemptId()}.bin"
@@ -526,19 +567,22 @@ class Model:
 
     def score(self, c: Chunk, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Known tokens, sum of log10 unigram probabilities and log10 probability of each text of a chunk, by what its n-grams' shards answered."""
-        count, number = self.vocabulary.look(c.hashes)
-        *_, place = c.grams(number, self.vocabulary.size, len(self.shards))
-        found = np.concatenate([np.zeros((3, 0), np.int64), *(np.stack(unpack(answers[k], 3)) for k in sorted(answers))], axis=1)
-        found = np.c_[found, np.zeros(3, np.int64)]  # the last is for place -1
+        *_, new, place = c.grams(self.vocabulary.size, len(self.shards))
+        some = [_apart(answers[k]) for k in sorted(answers)]
+        of_pairs = np.concatenate([np.zeros((2, 0), np.int64), *(np.stack(unpack(x, 2)) for x, _ in some)], axis=1)
+        # The last of each is for place -1.
+        pair_mass, pair_left = (np.r_[x[np.cumsum(new) - 1], 0] for x in of_pairs)
+        triple_mass = np.r_[np.concatenate([np.zeros(0, np.int64), *(unpack(x, 1)[0] for _, x in some)]), 0]
+        known = c.numbers >= 0
+        count = np.zeros(len(known), np.int64)
+        count[known] = self.vocabulary.counts_of(c.numbers[known])
         one = ((count + ADDED) / (self.total + ADDED * (self.distinct + 1)))[c.place]
         n = len(c.place)
-        first = np.zeros(n, bool)
-        first[c.begin] = True
-        before = np.where(first, np.searchsorted(c.hashes, np.uint64(END)), np.r_[0, c.place[:-1]][:n])
-        two = self._left_of(number)[before] * one + MASS[found[0, place]]
+        before = np.where(c.first, c.end, np.r_[0, c.place[:-1]][:n])
+        two = self._left_of(c.numbers)[before] * one + MASS[pair_mass[place]]
         # The pair that ends at the token before is this token's context.
-        context = np.where(first, len(found[0]) - 1, np.r_[-1, place[:-1]][:n])
-        p = np.where(found[1, context] > 0, MASS[found[2, context]] + MASS[found[1, context]] * two, two)
+        context = np.where(c.first, -1, np.r_[-1, place[:-1]][:n])
+        p = np.where(pair_left[context] > 0, MASS[triple_mass[context]] + MASS[pair_left[context]] * two, two)
         add = lambda x: np.add.reduceat(x, c.begin) if n else np.zeros(0)
         return add((count > 0)[c.place].astype(np.int64)), add(np.log10(one)), add(np.log10(p))
 
@@ -548,7 +592,7 @@ def _scores(chunks: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
 
     def run(key: tuple, rows: pa.Table, answered: pa.Table) -> pa.Table:
         without_cycles()
-        c = Chunk.read(rows.select([n for n, _ in CHUNK]).to_pylist()[0])
+        c = _chunk(rows.select([n for n, _ in CHUNK]).to_pylist()[0], model.vocabulary)
         known, base, score = model.score(c, dict(zip(answered.column("bucket").to_pylist(), answered.column("data").to_pylist(), strict=True)))
         ids = rows.column("ids").combine_chunks().flatten()
         return pa.table([ids, rows.column("train").combine_chunks().flatten(), pa.array(c.sizes), pa.array(known), pa.array(base), pa.array(score)], schema.names)
@@ -556,23 +600,30 @@ def _scores(chunks: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
     return chunks.groupBy("chunk").cogroup(answers.select("chunk", "bucket", "data").groupBy("chunk")).applyInArrow(run, schema)
 
 
-def _fit(chunks: DataFrame, out_dir: str, answer: bool) -> tuple[Model, DataFrame]:
-    """The model of all training texts of some chunks, and its answers to them. The driver holds paths and totals of files, as many as there are shuffle partitions."""
+def _fit(chunks: DataFrame, out_dir: str, answer: bool) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of all training texts of some chunks, the numbered chunks, and the model's answers to them. The driver holds paths and totals of files, as many as there are shuffle partitions.
+
+    ``chunks`` are deleted, as the numbered ones hold what they held.
+    """
     parts = partitions(chunks.sparkSession)
     files = {r["part"]: r for r in count_words(chunks, out_dir, parts).collect()}
     words = [files[k]["words"] if k in files else 0 for k in range(parts)]
     vocabulary = Vocabulary([files[k]["path"] if k in files else None for k in range(parts)], np.concatenate([[0], np.cumsum(words)[:-1]]).tolist(), max(1, sum(words)))
-    made = write_shards(shard_rows(chunks, vocabulary, parts), vocabulary, out_dir, answer)
+    numbered = number_words(chunks, vocabulary)
+    forget(chunks)
+    made = write_shards(shard_rows(numbered, vocabulary, SHARDS * parts), vocabulary, out_dir, answer)
     shards = {r["bucket"]: bytes(r["data"]).decode() for r in made.where(F.col("kind") == SHARD).collect()}
     left = {r["part"]: r["path"] for r in write_left(made.where(F.col("kind") == USED), vocabulary, out_dir).collect()}
-    model = Model(vocabulary, sum(r["tokens"] for r in files.values()), sum(words), [left.get(k) for k in range(parts)], [shards.get(k) for k in range(parts)])
-    return model, made.where(F.col("kind") == ANSWER)
+    model = Model(vocabulary, sum(r["tokens"] for r in files.values()), sum(words), [left.get(k) for k in range(parts)], [shards.get(k) for k in range(SHARDS * parts)])
+    return model, numbered, made.where(F.col("kind") == ANSWER)
 
 
 def fit_lm(docs: DataFrame, out_dir: str, text_col: str = "text") -> Model:
     """Learn from all rows of ``docs``; null texts are empty. An empty table gives a model that knows nothing."""
     rows = docs.select(F.lit(0).cast("long").alias("id"), F.lit(True).alias("train"), F.col(text_col).alias("text"))
-    return _fit(tokenise(rows), out_dir, answer=False)[0]
+    model, numbered, _ = _fit(tokenise(rows), out_dir, answer=False)
+    forget(numbered)
+    return model
 
 
 def score_lm(docs: DataFrame, model: Model) -> DataFrame:
@@ -582,19 +633,25 @@ def score_lm(docs: DataFrame, model: Model) -> DataFrame:
     columns are not read. An empty table gives no rows.
     """
     chunks = tokenise(docs)
-    return _scores(chunks, ask_shards(shard_rows(chunks, model.vocabulary, len(model.shards)), model), model)
+    numbered = number_words(chunks, model.vocabulary)
+    forget(chunks)
+    return _scores(numbered, ask_shards(shard_rows(numbered, model.vocabulary, len(model.shards)), model), model)
 
 
-def fit_and_score(docs: DataFrame, out_dir: str) -> tuple[Model, DataFrame]:
-    """The model of the rows (id, train, text) that train, and the scores of all, in one round of the shards; see ``score_lm``."""
-    chunks = tokenise(docs)
-    model, answers = _fit(chunks, out_dir, answer=True)
-    return model, _scores(chunks, answers, model)
+def fit_and_score(docs: DataFrame, out_dir: str, keep_shards: bool = True) -> tuple[Model, DataFrame]:
+    """The model of the rows (id, train, text) that train, and the scores of all, in one round of the shards; see ``score_lm``.
+
+    Without ``keep_shards`` the shards are deleted once they have answered: the model then scores no other texts.
+    """
+    model, numbered, answers = _fit(tokenise(docs), out_dir, answer=True)
+    if not keep_shards:
+        remove(docs.sparkSession, [p for p in model.shards if p])
+    return model, _scores(numbered, answers, model)
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model of those whose crc32 of the id as text, modulo 10, is not 0."""
     train = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10) != 0
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), train.alias("train"), "text")
-    model, scores = fit_and_score(docs, scratch(spark, "lm"))
+    model, scores = fit_and_score(docs, scratch(spark, "lm"), keep_shards=False)
     return scores.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -387,15 +387,12 @@ def test_op7_odd_rows(spark, docs, empty, tmp_path):
 def test_wide_chunks_have_the_same_ngrams():
     """Where a triple of numbers would not fit in a word, n-grams are numbered in two steps."""
     rng = np.random.default_rng(3)
-    hashes = np.unique(np.r_[rng.integers(0, 1 << 63, 500).astype(np.uint64), np.uint64(lm.END)])
-    end, place = int(np.searchsorted(hashes, np.uint64(lm.END))), rng.integers(0, len(hashes), 4000)
-    place[99::100] = end
-    one = lm.Chunk(hashes, place, np.full(40, 100), np.arange(40) % 3 > 0)
-    many = lm.Chunk(np.unique(np.r_[hashes, rng.integers(0, 1 << 63, 1 << 20).astype(np.uint64)]), None, one.sizes, np.arange(40) % 3 > 0)
-    many.place = np.searchsorted(many.hashes, hashes)[place]
-    numbers = np.where(np.arange(len(many.hashes)) % 7, np.arange(len(many.hashes)), -1)
-    few = numbers[np.searchsorted(many.hashes, hashes)]
-    for a, b in zip(one.grams(few, 1 << 21, 7), many.grams(numbers, 1 << 21, 7), strict=True):
+    numbers, train, sizes = np.r_[-1, np.unique(rng.integers(0, 1 << 20, 500))], np.arange(40) % 3 > 0, np.full(40, 100)
+    end, place = int(numbers[7]), rng.integers(0, len(numbers), 4000)
+    place[99::100] = 7
+    wide = np.arange(-1, 1 << 20)
+    one, many = lm.Chunk(numbers, place, sizes, train, end), lm.Chunk(wide, numbers[place] + 1, sizes, train, end)
+    for a, b in zip(one.grams(1 << 20, 7), many.grams(1 << 20, 7), strict=True):
         assert (a == b).all()
 
 
