@@ -4,7 +4,8 @@ The model has orders 1 to 3 with interpolated absolute discounting: p(w|h) = max
 over all n-grams, also those seen once; g(h) is the mass that they leave, and the unigram distribution adds 0.1 to each
 count. Tokens are words and an end after each text; the end also stands before each text's first word.
 
-Vocabulary: words are 64-bit hashes, sorted, in files by ranges of hashes, with counts; they are numbered in that order.
+Vocabulary: words are 64-bit hashes, sorted, in files by ranges of hashes, with counts. They are numbered by classes of
+counts (powers of two, the frequent ones first), then by file, then by hash, so that most numbers that occur are small.
 N-grams lie in shards by the hash of their first two words. A shard has three levels: first words; pairs; triples. On a
 level, the successors of context number k are stored as k * (vocabulary size) + word, one monotone sequence over all
 contexts, in Elias-Fano form: low bits packed, high bits in unary with a directory of counts. So the pointers from
@@ -38,11 +39,12 @@ from .common import forget, mix64, open_store, pack, partitions, put, remove, sc
 
 DISCOUNT = 0.75
 ADDED = 0.1
-CHUNK_TOKENS = 1_500_000  # tokens numbered together, at most, but for the rest of the last text
+CHUNK_TOKENS = 1_000_000  # tokens numbered together, at most, but for the rest of the last text
 END = 0x1D8E4E27C47D124F  # stands for the end among hashes
 FLOOR = -10.0  # log10 of the least mass that a byte stands for
 STEPS = 255 / -FLOOR
-UNITS = 1 << 40  # parts of the mass 1 in which sums of masses are passed on, rounded up
+RANGES = 256  # of the vocabulary, at most: files that a worker opens for the words of a chunk
+CLASSES = 64
 SHARDS = 2  # for each shuffle partition
 OPEN_FILES = 64  # files of arrays that a worker keeps open
 
@@ -303,11 +305,20 @@ def _runs(sorted_keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
     yield from zip(sorted_keys[at].tolist(), at.tolist(), [*at[1:].tolist(), len(sorted_keys)])
 
 
+def _class(counts: np.ndarray) -> np.ndarray:
+    """0 for the greatest counts, one more for each power of two less."""
+    return CLASSES - np.frexp(counts.astype(np.float64))[1]
+
+
 class Vocabulary:
     """The vocabulary files: count and number of words by their hashes, and counts by numbers."""
 
-    def __init__(self, paths: list[str | None], bases: list[int], size: int):
-        self.paths, self.bases, self.size, self.files = paths, np.array(bases, np.int64), size, Files()
+    def __init__(self, paths: list[str | None], sizes: np.ndarray):
+        """``sizes``: words of each file and class."""
+        self.paths, self.size, self.files = paths, max(1, int(sizes.sum())), Files()
+        self.begin = np.cumsum(sizes, 1) - sizes  # of each class in its file
+        flat = sizes.T.ravel()
+        self.bases = np.cumsum(flat) - flat  # first number of each class and file
         self.end = int(self.look(np.array([END], np.uint64))[1][0])
 
     def part(self, k: int) -> Arrays:
@@ -321,28 +332,32 @@ class Vocabulary:
                 continue
             f = self.part(k)
             at = np.minimum(np.searchsorted(f.hashes, h[a:b]), len(f.hashes) - 1)
-            hit = f.hashes[at] == h[a:b]
-            count[a:b] = np.where(hit, f.counts[at], 0).astype(np.int64)
-            number[a:b] = np.where(hit, self.bases[k] + at, -1)
+            hit = np.flatnonzero(f.hashes[at] == h[a:b])
+            at = at[hit]
+            count[a + hit] = f.counts[at]
+            number[a + hit] = self.bases[_class(f.counts[at]) * len(self.paths) + k] + f.within[at]
         return count, number
 
-    def part_of(self, numbers: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.bases, numbers, "right") - 1
+    def places(self, numbers: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(file, begin, end, places in the file's words by class) of runs of increasing numbers."""
+        for j, a, b in _runs(np.searchsorted(self.bases, numbers, "right") - 1):
+            c, k = divmod(j, len(self.paths))
+            yield k, a, b, numbers[a:b] - self.bases[j] + self.begin[k, c]
 
     def counts_of(self, numbers: np.ndarray) -> np.ndarray:
         """Counts of words by their numbers, in increasing order."""
         out = np.zeros(len(numbers), np.int64)
-        for k, a, b in _runs(self.part_of(numbers)):
-            out[a:b] = self.part(k).counts[numbers[a:b] - self.bases[k]]
+        for k, a, b, at in self.places(numbers):
+            out[a:b] = self.part(k).by_class[at]
         return out
 
 
-FILE = "part int, path string, words long, tokens long"
+FILE = "part int, path string, words array<long>, tokens long"
 PACKED = "bucket int, chunk long, data binary"
 
 
 def _one(**row) -> pa.Table:
-    return pa.Table.from_pydict({k: [v] for k, v in row.items()}, pa.schema([("part", pa.int32()), ("path", pa.string()), ("words", pa.int64()), ("tokens", pa.int64())]))
+    return pa.Table.from_pydict({k: [v] for k, v in row.items()}, pa.schema([("part", pa.int32()), ("path", pa.string()), ("words", pa.list_(pa.int64())), ("tokens", pa.int64())]))
 
 
 def _packed(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -366,8 +381,12 @@ def count_words(chunks: DataFrame, out_dir: str, parts: int) -> DataFrame:
         h, place = np.unique(np.concatenate([np.cumsum(s[0].view(np.uint64), dtype=np.uint64) for s in some]), return_inverse=True)
         n = np.bincount(place, weights=np.concatenate([s[1] for s in some])).astype(np.int64)
         path = f"{out_dir}/words-{k:06d}-{TaskContext.get().taskAttemptId()}.bin"
-        put(path, arrays_bytes({"hashes": h, "counts": n.astype(np.uint64)}))
-        return _one(part=k, path=path, words=len(h), tokens=int(n.sum()))
+        of, sizes = _class(n), np.bincount(_class(n), minlength=CLASSES)
+        order = np.argsort(of, kind="stable")
+        within = np.empty(len(h), np.uint32)
+        within[order] = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        put(path, arrays_bytes({"hashes": h, "counts": n, "within": within, "by_class": n[order]}))
+        return _one(part=k, path=path, words=sizes.tolist(), tokens=int(n.sum()))
 
     return stored(chunks.select(*(n for n, _ in CHUNK)).mapInArrow(count, PACKED).groupBy("bucket").applyInArrow(write, FILE), "lm-words")
 
@@ -471,9 +490,9 @@ class Shard:
         return of_pairs, of_grams
 
 
-#: Rows of three kinds: the path of a shard; for a part of the vocabulary, words and the masses of their pairs; a chunk's answers.
+#: Rows of three kinds: the path of a shard; for a file of the vocabulary, places of words and how many pairs they begin; a chunk's answers.
 MADE = "kind int, bucket int, chunk long, data binary"
-SHARD, USED, ANSWER = 0, 1, 2
+SHARD, TYPES, ANSWER = 0, 1, 2
 
 
 def _made(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
@@ -499,17 +518,17 @@ def write_shards(grams: DataFrame, vocabulary: Vocabulary, out_dir: str, answer:
         leaf = c < size
         node = pair[leaf]
         leaf_mass = quantise((n[leaf] - DISCOUNT) / pair_n[node])
-        left = 1 - np.bincount(node, weights=MASS[leaf_mass], minlength=len(pa_))
+        left = DISCOUNT * np.bincount(node, minlength=len(pa_)) / pair_n
         arrays, bits = {}, []
         for k, (values, universe) in enumerate(((first, size), (context * size + pb, len(first) * size), (node * size + c[leaf], len(pa_) * size))):
             more, width = elias_fano(values, max(1, universe), f"level{k}")
             arrays |= more
             bits.append(width)
         path = f"{out_dir}/shard-{shard:06d}-{TaskContext.get().taskAttemptId()}.bin"
-        put(path, arrays_bytes(arrays | {"pair_mass": mass, "pair_left": quantise(np.maximum(left, 1e-9)), "triple_mass": leaf_mass}, bits=bits))
-        used = np.ceil(np.bincount(context, weights=MASS[mass], minlength=len(first)) * UNITS).astype(np.int64)
+        put(path, arrays_bytes(arrays | {"pair_mass": mass, "pair_left": np.where(left > 0, quantise(left), 255).astype(np.uint8), "triple_mass": leaf_mass}, bits=bits))
+        types = np.bincount(context, minlength=len(first))
         out = [(SHARD, shard, 0, path.encode())]
-        out += [(USED, k, 0, pack(np.diff(first[a:b], prepend=0), used[a:b])) for k, a, b in _runs(vocabulary.part_of(first))]
+        out += [(TYPES, k, 0, pack(np.diff(at, prepend=0), types[a:b])) for k, a, b, at in vocabulary.places(first)]
         if answer:
             out += [(ANSWER, shard, chunk, data) for chunk, data in asked.answers(*Shard(Arrays(path)).find(asked, size))]
         return _made(out)
@@ -531,19 +550,18 @@ def ask_shards(grams: DataFrame, model: Model) -> DataFrame:
     return grams.groupBy("bucket").applyInArrow(run, MADE)
 
 
-def write_left(used: DataFrame, vocabulary: Vocabulary, out_dir: str) -> DataFrame:
+def write_left(types: DataFrame, vocabulary: Vocabulary, out_dir: str) -> DataFrame:
     """For each vocabulary file, the masses that its words' pairs leave."""
 
     def write(key: tuple, rows: pa.Table) -> pa.Table:
         k, some = key[0].as_py(), [unpack(d, 2) for d in rows.column("data").to_pylist()]
-        number, mass = np.concatenate([np.cumsum(s[0]) for s in some]), np.concatenate([s[1] for s in some]) / UNITS
-        words = len(vocabulary.part(k).counts)
-        left = 1 - np.bincount(number - vocabulary.bases[k], weights=mass, minlength=words)
+        counts = vocabulary.part(k).by_class
+        left = DISCOUNT * np.bincount(np.concatenate([np.cumsum(s[0]) for s in some]), weights=np.concatenate([s[1] for s in some]), minlength=len(counts)) / counts
         path = f"{out_dir}/left-{k:06d}-{TaskContext.get().taskAttemptId()}.bin"
-        put(path, arrays_bytes({"left": quantise(np.maximum(left, 1e-9))}))
-        return _one(part=k, path=path, words=words, tokens=0)
+        put(path, arrays_bytes({"left": np.where(left > 0, quantise(left), 255).astype(np.uint8)}))
+        return _one(part=k, path=path, words=[], tokens=0)
 
-    return stored(used.groupBy("bucket").applyInArrow(write, FILE), "lm-left")
+    return stored(types.groupBy("bucket").applyInArrow(write, FILE), "lm-left")
 
 
 # Scores.
@@ -556,13 +574,12 @@ class Model:
         self.vocabulary, self.total, self.distinct, self.left, self.shards, self.files = vocabulary, total, distinct, left, shards, Files()
 
     def _left_of(self, numbers: np.ndarray) -> np.ndarray:
-        """Mass that the pairs of each word leave, by increasing numbers; 1 for words without a number, which come first or anywhere."""
+        """Mass that the pairs of each word leave, by increasing numbers; 1 for words without a number."""
         out = np.ones(len(numbers))
         known = np.flatnonzero(numbers >= 0)
-        for k, a, b in _runs(self.vocabulary.part_of(numbers[known])):
+        for k, a, b, at in self.vocabulary.places(numbers[known]):
             if self.left[k] is not None:
-                at = known[a:b]
-                out[at] = MASS[self.files[self.left[k]].left[numbers[at] - self.vocabulary.bases[k]]]
+                out[known[a:b]] = MASS[self.files[self.left[k]].left[at]]
         return out
 
     def score(self, c: Chunk, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -601,20 +618,20 @@ def _scores(chunks: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
 
 
 def _fit(chunks: DataFrame, out_dir: str, answer: bool) -> tuple[Model, DataFrame, DataFrame]:
-    """The model of all training texts of some chunks, the numbered chunks, and the model's answers to them. The driver holds paths and totals of files, as many as there are shuffle partitions.
+    """The model of all training texts of some chunks, the numbered chunks, and the model's answers to them. The driver holds paths and totals of files, at most RANGES of the vocabulary and SHARDS for each shuffle partition.
 
     ``chunks`` are deleted, as the numbered ones hold what they held.
     """
-    parts = partitions(chunks.sparkSession)
+    shards, parts = SHARDS * partitions(chunks.sparkSession), min(RANGES, partitions(chunks.sparkSession))
     files = {r["part"]: r for r in count_words(chunks, out_dir, parts).collect()}
-    words = [files[k]["words"] if k in files else 0 for k in range(parts)]
-    vocabulary = Vocabulary([files[k]["path"] if k in files else None for k in range(parts)], np.concatenate([[0], np.cumsum(words)[:-1]]).tolist(), max(1, sum(words)))
+    words = np.array([files[k]["words"] if k in files else [0] * CLASSES for k in range(parts)])
+    vocabulary = Vocabulary([files[k]["path"] if k in files else None for k in range(parts)], words)
     numbered = number_words(chunks, vocabulary)
     forget(chunks)
-    made = write_shards(shard_rows(numbered, vocabulary, SHARDS * parts), vocabulary, out_dir, answer)
-    shards = {r["bucket"]: bytes(r["data"]).decode() for r in made.where(F.col("kind") == SHARD).collect()}
-    left = {r["part"]: r["path"] for r in write_left(made.where(F.col("kind") == USED), vocabulary, out_dir).collect()}
-    model = Model(vocabulary, sum(r["tokens"] for r in files.values()), sum(words), [left.get(k) for k in range(parts)], [shards.get(k) for k in range(SHARDS * parts)])
+    made = write_shards(shard_rows(numbered, vocabulary, shards), vocabulary, out_dir, answer)
+    paths = {r["bucket"]: bytes(r["data"]).decode() for r in made.where(F.col("kind") == SHARD).collect()}
+    left = {r["part"]: r["path"] for r in write_left(made.where(F.col("kind") == TYPES), vocabulary, out_dir).collect()}
+    model = Model(vocabulary, sum(r["tokens"] for r in files.values()), int(words.sum()), [left.get(k) for k in range(parts)], [paths.get(k) for k in range(shards)])
     return model, numbered, made.where(F.col("kind") == ANSWER)
 
 
