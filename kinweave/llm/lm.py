@@ -43,7 +43,7 @@ CHUNK_TOKENS = 1_000_000  # tokens numbered together, at most, but for the rest
 END = 0x1D8E4E27C47D124F  # stands for the end among hashes
 FLOOR = -10.0  # log10 of the least mass that a byte stands for
 STEPS = 255 / -FLOOR
-RANGES = 256  # of the vocabulary, at most: files that a worker opens for the words of a chunk
+RANGES = 128  # of the vocabulary, at most: files that a worker opens for the words of a chunk
 CLASSES = 64
 SHARDS = 2  # for each shuffle partition
 OPEN_FILES = 64  # files of arrays that a worker keeps open
@@ -528,7 +528,12 @@ def write_shards(grams: DataFrame, vocabulary: Vocabulary, out_dir: str, answer:
         put(path, arrays_bytes(arrays | {"pair_mass": mass, "pair_left": np.where(left > 0, quantise(left), 255).astype(np.uint8), "triple_mass": leaf_mass}, bits=bits))
         types = np.bincount(context, minlength=len(first))
         out = [(SHARD, shard, 0, path.encode())]
-        out += [(TYPES, k, 0, pack(np.diff(at, prepend=0), types[a:b])) for k, a, b, at in vocabulary.places(first)]
+        of_file: dict[int, list] = {}
+        for k, a, b, at in vocabulary.places(first):  # classes follow each other in a file, as they do in numbers
+            of_file.setdefault(k, []).append((at, types[a:b]))
+        for k, some in of_file.items():
+            at, n = map(np.concatenate, zip(*some, strict=True))
+            out.append((TYPES, k, 0, pack(np.diff(at, prepend=0), n)))
         if answer:
             out += [(ANSWER, shard, chunk, data) for chunk, data in asked.answers(*Shard(Arrays(path)).find(asked, size))]
         return _made(out)

@@ -4,8 +4,8 @@
    gets its document count, and only n-grams of two documents or more go back to their documents.
 2. N-grams are globally ordered, rare ones first. A document of n n-grams can only be like another if they share one of
    its first n - ceil(0.8 n) + 1; so a document with too few shared n-grams is out, and the others are indexed by those.
-3. Documents with equal sets are one from here on. Under each indexed n-gram, the first document is paired with all
-   others. Pairs are gathered into blocks around one document, of bounded size, and each block is joined with itself:
+3. Documents of one bucket with equal sets are one from here on, so that a group of copies leaves one set a bucket at
+   most. Under each indexed n-gram, the first document is paired with all others. Pairs are gathered into blocks around one document, of bounded size, and each block is joined with itself:
    its sets are stored in a trie, a traversal shares the overlap with common beginnings, and bounds by the lengths that
    remain prune subtrees. A block gives the links of a spanning forest.
 4. Links make components. Documents of one n-gram that are in different components after that are all paired (with
@@ -22,12 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, pack, partitions, stored, table, unpack
+from .common import mix64, pack, partitions, stored, table, unpack, without_cycles
 
 WORDS = 5
 #: Two sets are like if SHARE[1] * intersection >= SHARE[0] * union.
 SHARE = (4, 5)
-CHUNK = 2_000_000  # words packed together
+CHUNK = 1_000_000  # words packed together
 BLOCK = 256  # sets in a block around one document
 NO_ID = -(1 << 63)
 KEEP_BITS = 44
@@ -121,6 +121,7 @@ def pack_sets(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> Data
         return _batch(rows + list(_deal(home[order], [ids[order], sizes[order]], SIZES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        without_cycles()
         ids, texts, held = [], [], 0
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -141,6 +142,7 @@ def shared_grams(packed: DataFrame, homes: int) -> DataFrame:
     """For each bucket of documents: their n-grams that stand in two rows or more, with document counts; sizes pass through."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
+        without_cycles()
         b = key[0].as_py()
         kinds, data = rows.column("kind").to_pylist(), rows.column("data").to_pylist()
         out = []
@@ -171,17 +173,19 @@ def shared_grams(packed: DataFrame, homes: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(run, PACKED)
 
 
-SET = "id long, n_rows long, n long, first_places long, key binary, grams array<long>"
+SET = "id long, n_rows long, n long, first_places long, rep long, grams array<long>"
 
 
 def indexed_sets(shared: DataFrame) -> DataFrame:
     """One row (SET) for each document: its number of n-grams and, if it can be like another, its shared n-grams, rarest first.
 
-    ``first_places``: how many of those are to be indexed. ``key``: equal for documents with equal sets. Rows with equal
-    ids are one document, with the union of their sets.
+    ``first_places``: how many of those are to be indexed. ``rep``: the least document of the bucket with an equal set,
+    which alone has the n-grams; null if the document can be like no other. Rows with equal ids are one document, with
+    the union of their sets.
     """
 
     def run(rows: pa.Table) -> pa.Table:
+        without_cycles()
         kinds, data = rows.column("kind").to_pylist(), rows.column("data").to_pylist()
         sizes = [unpack(d, 2) for k, d in zip(kinds, data, strict=True) if k == SIZES]
         ids, n = (np.concatenate([s[i] for s in sizes]) for i in (0, 1))
@@ -203,12 +207,14 @@ def indexed_sets(shared: DataFrame) -> DataFrame:
         ends = np.cumsum(np.bincount(at, minlength=len(ids)))
         # Of the first n - least + 1 places, those of n-grams in no other document come before the shared ones.
         places = np.where(alive, known - least + 1, 0)
-        keys, sets = [], []
+        reps, sets, seen = [], [], {}
         for i in range(len(ids)):
             s = h[ends[i - 1] if i else 0 : ends[i]] if alive[i] else None
-            sets.append(s)
-            keys.append(None if s is None else xxhash.xxh3_128_digest(np.sort(s).tobytes() if len(s) == n[i] else b"id" + ids[i].tobytes()))
-        arrays = [pa.array(ids), pa.array(n_rows.astype(np.int64)), pa.array(n), pa.array(places.astype(np.int64)), pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))]
+            # Sets with n-grams of their own are equal to no other.
+            rep = None if s is None else int(ids[i]) if len(s) < n[i] else seen.setdefault(xxhash.xxh3_128_digest(np.sort(s).tobytes()), int(ids[i]))
+            reps.append(rep)
+            sets.append(s if rep == ids[i] else None)
+        arrays = [pa.array(ids), pa.array(n_rows.astype(np.int64)), pa.array(n), pa.array(places.astype(np.int64)), pa.array(reps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
         return pa.Table.from_arrays(arrays, [x.split()[0] for x in SET.split(", ")])
 
     return shared.groupBy("bucket").applyInArrow(run, SET)
@@ -355,10 +361,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     parts = partitions(docs.sparkSession)
     table_ = stored(indexed_sets(shared_grams(pack_sets(docs, id_col, text_col, 2 * parts), parts)), "ngram-sets")
-    alive = table_.where("key is not null")
-    # Written first, so that the joins below shuffle both sides, and Spark can split the rows of a frequent class.
-    classes = stored(alive.groupBy("key").agg(F.min("id").alias("class")), "ngram-keys")
-    sets = stored(alive.join(classes, "key").where("id = class").select("id", "n", "first_places", "grams"), "ngram-classes")
+    sets = table_.where("grams is not null").select("id", "n", "first_places", "grams")
     postings = sets.select("id", "n", F.size("grams").alias("known"), F.posexplode(F.slice("grams", F.lit(1), F.col("first_places").cast("int"))).alias("pos", "gram"))
     # Places are counted from the end: how many n-grams follow.
     postings = stored(postings.select("gram", "id", "n", (F.col("known") - F.col("pos") - 1).alias("after")), "ngram-postings")
@@ -380,8 +383,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
-    member = alive.join(classes, "key").select("id", "class").join(found, F.col("class") == F.col("node"), "left").select("id", F.coalesce("component", "class").alias("component"))
-    out = table_.select("id", "n", "n_rows").join(member, "id", "left")
+    out = table_.select("id", "n", "n_rows", "rep").join(found, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
     out = out.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("n_rows"))))
     return out.select(F.nullif("id", F.lit(NO_ID)).alias(id_col), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "id"), F.lit(NO_ID)).alias("component_id"))
 
