@@ -319,7 +319,8 @@ def join_blocks(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     many = pairs.groupBy("a").agg(F.count("*").alias("n"))
     dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK)).alias("part"))
     members = dealt.unionByName(dealt.select("a", F.col("a").alias("b"), "part").distinct())
-    rows = members.join(sets.select(F.col("id").alias("b"), "n", "grams"), "b")
+    # A merge join at every size: the side that would be broadcast grows with the corpus.
+    rows = members.join(sets.select(F.col("id").alias("b"), "n", "grams").hint("merge"), "b")
 
     def run(block: pa.Table) -> pa.Table:
         sets = [np.asarray(s.values) for s in block.column("grams").combine_chunks()]
@@ -368,12 +369,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a, b = SHARE
     near_size = (F.greatest("n", "m") * a <= F.least("n", "m") * b)
 
+    # Only n-grams that two sets are indexed by matter from here on; each of their rows knows the first set and its size.
     first = postings.groupBy("gram").agg(F.min_by(F.struct("id", "n"), "id").alias("f"), F.count("*").alias("c")).where("c > 1").select("gram", F.col("f.id").alias("a"), F.col("f.n").alias("m"))
-    stars = stored(postings.join(first, "gram").where(F.col("id") != F.col("a")).where(near_size).select("a", F.col("id").alias("b")).distinct(), "ngram-stars")
+    common = stored(postings.join(first, "gram"), "ngram-common")
+    stars = stored(common.where(F.col("id") != F.col("a")).where(near_size).select("a", F.col("id").alias("b")).distinct(), "ngram-stars")
     links = stored(join_blocks(stars, sets), "ngram-links")
     found = components(links)
 
-    placed = postings.join(found, postings["id"] == found["node"], "left").select("gram", "id", "n", "after", F.coalesce("component", "id").alias("component"))
+    placed = common.drop("a", "m").join(found, F.col("id") == F.col("node"), "left").select("gram", "id", "n", "after", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("gram")
     placed = stored(placed.join(mixed, "gram"), "ngram-mixed")
     left, right = placed.select("gram", F.col("id").alias("a"), "n", "after", F.col("component").alias("x")), placed.select("gram", F.col("id").alias("b"), F.col("n").alias("m"), F.col("after").alias("then"), F.col("component").alias("y"))

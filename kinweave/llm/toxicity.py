@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, without_cycles
 
 #: At most so many labelled texts of each kind are gathered on the driver to make the dictionaries and fit the curve.
 TOXIC_SAMPLE, ORDINARY_SAMPLE = 1000, 3000
@@ -83,19 +83,16 @@ class Distance:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[1:] + self.weights[0], -30, 30)))
 
 
-def _grams(word: str) -> set[str]:
-    return {word[i : i + GRAM] for i in range(len(word) - GRAM + 1)}
+def _plain(text: str) -> str:
+    """The words of a text in lower case, a blank before, between and after."""
+    return f" {' '.join(text.lower().split())} "
 
 
-def _text_counts(texts: list[set[str]]) -> Counter:
-    """In how many texts each short string stands."""
-    memo: dict[str, set[str]] = {}
+def _text_counts(texts: list[str]) -> Counter:
+    """In how many texts each short string within a word, with its ends, stands."""
     out: Counter = Counter()
-    for words in texts:
-        for w in words:
-            if w not in memo:
-                memo[w] = _grams(f" {w} ")
-        out.update(set().union(*(memo[w] for w in words)))
+    for t in texts:
+        out.update(g for g in {t[i : i + GRAM] for i in range(len(t) - GRAM + 1)} if " " not in g[1:-1])
     return out
 
 
@@ -111,12 +108,12 @@ def _beyond_chance(a: int, n: int, b: int, m: int) -> float:
     return 2 * (fit(a, n, a / n) + fit(b, m, b / m) - fit(a, n, p) - fit(b, m, p))
 
 
-def _peculiar(texts: list[set[str]], own: Counter, n: int, other: Counter, m: int) -> bytes:
+def _peculiar(texts: list[str], own: Counter, n: int, other: Counter, m: int) -> bytes:
     """The stretches of words that peculiar strings cover, each once, the most frequent last."""
     grams = {g for g, c in own.items() if c >= n / 30 and c / n > 4 * other[g] / m and _beyond_chance(c, n, other[g], m) > 25}
     found: Counter = Counter()
-    for words in texts:
-        for w in words:
+    for t in texts:
+        for w in set(t.split()):
             w, begin, end = f" {w} ", 0, -1
             for i in range(len(w) - GRAM + 1):
                 if w[i : i + GRAM] in grams:
@@ -137,11 +134,12 @@ def fit(toxic: list[str], ordinary: list[str]) -> Distance:
     model = Distance()
     if not toxic or not ordinary:
         return model
-    kinds = [[set(t.lower().split()) for t in texts] for texts in (toxic, ordinary)]
+    kinds = [[_plain(t) for t in texts] for texts in (toxic, ordinary)]
     counts = [_text_counts(k) for k in kinds]
     n, m = len(toxic), len(ordinary)
     model.toxic, model.ordinary = _peculiar(kinds[0], counts[0], n, counts[1], m), _peculiar(kinds[1], counts[1], m, counts[0], n)
-    usual = [t.lower().encode() for t in ordinary[:1400]]
+    usual = [t.encode() for t in kinds[1]]
+    del kinds, counts
     try:
         model.common = zstandard.train_dictionary(COMMON_BYTES, usual, level=3).as_bytes()
     except zstandard.ZstdError:  # too few texts
@@ -171,21 +169,27 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """Fit on labelled rows outside the held-out fold (crc32 of the id as text, modulo ``folds``, is 0).
 
     At most ``toxic_sample`` and ``ordinary_sample`` rows, those with the least hashes of their ids, go to the driver.
-    Rows without label or id are passed over, null texts are empty.
+    Rows without label or id are passed over, null texts are empty; of rows that share an id that of the least text
+    counts, with the least label. Without rows of both labels nothing is learnt.
     """
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").where(~_held_out("id", folds)).dropDuplicates(["id"])
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").where(~_held_out("id", folds)).groupBy("id").agg(F.min("label").alias("label"))
     chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(n) for k, n in ((1, toxic_sample), (0, ordinary_sample))]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(chosen, "id").orderBy(F.xxhash64("id"), "id", "text").limit(2 * (toxic_sample + ordinary_sample)).collect()
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(chosen, "id").groupBy("id", "label").agg(F.min("text").alias("text")).orderBy(F.xxhash64("id"), "id").collect()
     return fit([r["text"] for r in rows if r["label"] == 1], [r["text"] for r in rows if r["label"] == 0])
 
 
 def score_toxicity(docs: DataFrame, model: Distance, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
-    """All columns of ``docs`` and the score of its text (null: empty); a column of that name is replaced."""
+    """All columns of ``docs`` and the score of its text, 0 to 1; a column of that name is replaced.
+
+    Every row gets a score, whatever its id, equal texts equal ones; null and empty texts that of no words. Texts are
+    read whole. An empty table gives no rows.
+    """
     docs = docs.drop(score_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        without_cycles()
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(texts), pa.float64())], [*batch.schema.names, score_col])
