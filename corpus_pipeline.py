@@ -42,7 +42,7 @@ def _stage(work: Stage) -> Stage:
 
 @_stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below 0.5. Null and empty texts stay."""
+    """Documents whose score is below 0.5, each row by its own text; without labels of both kinds all stay. Null and empty texts stay. An empty table gives no rows."""
     docs = docs.select(*COLUMNS)
     model = fit_toxicity(docs, common.table(spark, sf_dir, "labels"))
     return score_toxicity(docs, model, score_col="__toxicity").where("__toxicity < 0.5").select(*COLUMNS)
@@ -50,7 +50,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of line runs; n_chars follows the text. A document none of whose words are left is a copy and goes."""
+    """Documents without later copies of line runs; n_chars follows the text. A document none of whose words are left is a copy and goes; null, empty and blank texts stay as they are. An empty table gives no rows."""
     out = dedup_lines(docs.select(*COLUMNS)).where((F.col("deleted_lines") == 0) | (F.regexp_like("text", F.lit(common.WORD))))
     return out.withColumn("n_chars", F.when(F.col("deleted_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
 
@@ -73,18 +73,24 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 @_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes its words, to the nearest whole number: 0, 1 or 2 times."""
+    """Each row as often as the mix takes its words, to the nearest whole number (0, 1 or 2 times), in the order of the schedule's slots.
+
+    Rows without words (null and empty texts) give nothing. Every row is a document of its own, whatever its id; equal
+    rows are told apart by a number among them. An empty table gives no rows.
+    """
     # Keys of content and place among equal rows: the mix goes by them, so they can't depend on partitions.
     rows = docs.groupBy(*COLUMNS).agg(F.count("*").alias("__n")).withColumn("__place", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     rows = common.stored(rows.select(*COLUMNS, _digest("__place").alias("__key")), "rows")
-    taken = mix(rows, "__key").where("size > 0").select(F.col("__key").alias("__of"), F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
+    mixed = mix(rows, "__key").where("taken > 0").select(F.col("__key").alias("__of"), "first_slots", F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
+    taken = mixed.select("__of", "first_slots", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("__turn"))
+    taken = taken.select("__of", "__turn", F.coalesce(F.get("first_slots", "__turn"), F.col("first_slots")[0]).alias("__slot"))
     out = rows.join(taken, F.col("__key") == F.col("__of"))
-    return out.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    return out.repartitionByRange("__slot", "__turn", "__key").sortWithinPartitions("__slot", "__turn", "__key").select(*COLUMNS)
 
 
 @_stage
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the digests of ids and decoded text."""
+    """doc_id, n_tokens, ids and the digests of ids and decoded text, a row for each row; a null text is empty. An empty table gives no rows."""
     return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
