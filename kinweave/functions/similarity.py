@@ -57,7 +57,7 @@ def jaro_winkler(a: str, b: str) -> float:
     """Jaro similarity, raised by up to four common first characters where it is above 0.7."""
     if not a or not b:
         return float(a == b)
-    reach = max(len(a), len(b)) // 2 - 1
+    reach = max(0, max(len(a), len(b)) // 2 - 1)
     taken, matched = [False] * len(b), []
     for i, c in enumerate(a):
         for j in range(max(0, i - reach), min(len(b), i + reach + 1)):

@@ -238,11 +238,13 @@ def name_views(name: Column, country: Column) -> Column:
 
 
 def mapped(rule, c: Column) -> Column:
-    """A rule from string to string (collapse_initials, norm_country, norm_postal, ...) over a column, in Arrow batches."""
+    """A rule from string to string (collapse_initials, norm_country, norm_postal, ...) over a column, in Arrow batches; each distinct value of a batch is read once."""
 
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
-        return values.map(rule)
+        codes, distinct = pd.factorize(values, use_na_sentinel=False)
+        done = [rule(None if pd.isna(x) else x) for x in distinct]
+        return pd.Series([done[k] for k in codes], dtype=object)
 
     return run(c)
 

@@ -105,9 +105,9 @@ def shared_records(v: Views) -> DataFrame:
     return audit.shared_records(v.table("lineitem").select(F.col("l_suppkey").alias("e"), F.col("l_partkey").alias("r")))
 
 
-@query(f"SELECT doc_id, regexp_matches(text, '[À-ɏ]') AS accented, regexp_matches(text, '[\\x{{0250}}-\\x{{FFFF}}]') AS other_script FROM documents")
+@query(f"SELECT doc_id, regexp_matches(text, '[À-ɏ]') AS accented, regexp_matches(regexp_replace(text, '[\\x{{0000}}-\\x{{024F}}]', '', 'g'), '\\p{{L}}') AS other_script FROM documents")
 def script_flags(v: Views) -> DataFrame:
-    return v.table("documents").select("doc_id", F.col("text").rlike("[À-ɏ]").alias("accented"), F.col("text").rlike("[\\x{0250}-\\x{FFFF}]").alias("other_script"))
+    return v.table("documents").select("doc_id", F.col("text").rlike("[À-ɏ]").alias("accented"), audit.non_latin(F.col("text")).alias("other_script"))
 
 
 @query()
@@ -161,7 +161,7 @@ def name_key(v: Views) -> DataFrame:
 
 @query(f"WITH {_TOKENS} SELECT p_partkey, array_to_string(list_filter(ts, lambda x: list_contains({words_sql(fixed.LEGAL)}, x)), ' ') AS legal FROM t0")
 def legal_form(v: Views) -> DataFrame:
-    return _part_names(v).select("p_partkey", F.array_join(F.filter(T.words(F.col("name")), lambda t: t.isin(*sorted(fixed.LEGAL))), " ").alias("legal"))
+    return _part_names(v).select("p_partkey", T.mapped(T.legal_form, F.col("name")).alias("legal"))
 
 
 @query()
@@ -181,8 +181,7 @@ def norm_country(v: Views) -> DataFrame:
 
 @query("SELECT o_orderkey, nullif(regexp_replace(lower(o_orderpriority), '[^0-9a-z]', '', 'g'), '') AS postal FROM orders")
 def norm_postal(v: Views) -> DataFrame:
-    code = F.regexp_replace(F.lower("o_orderpriority"), "[^0-9a-z]", "")
-    return v.table("orders").select("o_orderkey", F.nullif(code, F.lit("")).alias("postal"))
+    return v.table("orders").select("o_orderkey", T.mapped(T.norm_postal, F.col("o_orderpriority")).alias("postal"))
 
 
 @query(f"WITH {V.ITEMS}, rec AS (SELECT 0 AS r, '' AS name WHERE false), {V.GRAM_TOKENS} SELECT id, token, count(*) AS n FROM et GROUP BY id, token")
