@@ -1,12 +1,11 @@
 """Word lists, tables and patterns that results depend on. They are data, kept together and in plain order."""
 
 # Tokens that name a legal form.
-LEGAL = frozenset(
-    "inc incorporated llc corp corporation co ltd limited gmbh ag kg sarl sa sas pvt private ltda me kk plc llp bv nv srl spa oy ab as pte pty sl lp company".split()
-)
-# Words that names are compared without; the second list serves where legal forms come from the country tables.
-STOP = frozenset("the and of de la le les das der die du des da do et".split())
-STOP_WITH_TABLES = frozenset("the and of de la le les du des et l d".split())
+LEGAL = frozenset(["inc", "incorporated", "llc", "corp", "corporation", "co", "ltd", "limited", "gmbh", "ag", "kg", "sarl", "sa", "sas", "pvt", "private", "ltda", "me", "kk", "plc", "llp", "bv", "nv", "srl", "spa", "oy", "ab", "as", "pte", "pty", "sl", "lp", "company"])
+# Words that names are compared without.
+STOP = frozenset(["the", "and", "of", "de", "la", "le", "les", "das", "der", "die", "du", "des", "da", "do", "et"])
+# The same where legal forms come from the country tables.
+STOP_WITH_TABLES = frozenset(["the", "and", "of", "de", "la", "le", "les", "du", "des", "et", "l", "d"])
 # Abbreviations in names.
 ABBREVIATIONS = {
     "intl": "international", "int'l": "international", "svcs": "services", "svc": "services", "hldgs": "holdings", "hldg": "holdings",
@@ -50,19 +49,22 @@ MORE_STREETS = {
     "chemin": "chemin", "ch": "chemin", "chem": "chemin", "impasse": "impasse", "imp": "impasse", "quai": "quai", "cours": "cours", "crs": "cours",
     "square": "square", "sq": "square", "route": "route", "rte": "route", "faubourg": "faubourg", "fbg": "faubourg", "salai": "salai", "gali": "gali",
 }
-STREET_STOP = frozenset("de du des la le les l d del della von van der the of bis ter quater no plot door h shop flat".split())
-UNITS = frozenset("suite ste unit apt floor fl room rm".split())
+# Words that streets are compared without.
+STREET_STOP = frozenset(["de", "du", "des", "la", "le", "les", "l", "d", "del", "della", "von", "van", "der", "the", "of", "bis", "ter", "quater", "no", "plot", "door", "h", "shop", "flat"])
+# Words before a unit.
+UNITS = frozenset(["suite", "ste", "unit", "apt", "floor", "fl", "room", "rm"])
 # Patterns of address parts.
-POSTAL_TOKEN = r"(?:[a-z]?\d{5}-\d{3}|\d{3}-\d{4}|\d{5,6}|\d{4})"
-LANDMARK = r"(?i)\s*(?:near|nr|opp|opposite|behind|beside|next to|adjacent to|above|below|in front of|landmark|close to)\b"
-UNIT_PART = r"(?i)\s*(?:suite|ste|unit|apt|apartment|fl|floor|room|rm|#|shop|office|flat)\s*\.?\s*[\w-]{1,4}\s*"
-DOOR = r"(?i)\s*(?:#|no\.?|door no\.?|plot(?: no\.?)?|h\.?\s?no\.?)?\s*[\dA-Za-z]*\d[\dA-Za-z/-]*\s*"
-REGION_POSTAL = r"(?i)\s*[a-z]{2,3}\s*-?\s*\d{3}\s?\d{2,3}(?:-\d{3,4})?\s*"
+POSTAL_TOKEN = r"^(?:[a-z]?\d{5}-\d{3}|\d{3}-\d{4}|\d{5,6}|\d{4})$"
+LANDMARK = r"^\s*(near|nr|opp|opposite|behind|beside|next to|adjacent to|above|below|in front of|landmark|close to)\b"
+UNIT_PART = r"^\s*(suite|ste|unit|apt|apartment|fl|floor|room|rm|#|shop|office|flat)\s*\.?\s*[\w-]{1,4}\s*$"
+DOOR = r"(?i)^\s*(?:#|no\.?|door no\.?|plot(?: no\.?)?|h\.?\s?no\.?)?\s*[\dA-Za-z]*\d[\dA-Za-z/-]*\s*$"
+REGION_POSTAL = r"(?i)^\s*[a-z]{2,3}\s*-?\s*\d{3}\s?\d{2,3}(?:-\d{3,4})?\s*$"
 POSTAL_BY_COUNTRY = {
     "US": [r"(?<![\d-])(\d{5})(?:-\d{4})?(?!\d)"],
     "IN": [r"(?<!\d)([1-9]\d{2})\s?(\d{3})(?!\d)"],
     "FR": [r"(?<!\d)(\d{5})(?!\d)"],
 }
 POSTAL_ANYWHERE = [r"(?<!\d)(\d{5})-(\d{3})(?!\d)", r"(?<!\d)(\d{3})-(\d{4})(?!\d)", r"(?<![\d-])(\d{5})(?:-\d{4})?(?!\d)", r"(?<!\d)([1-9]\d{2})\s?(\d{3})(?!\d)"]
+# Dotted initials, and what stands before an Indian firm.
 INITIALS = r"(?<![A-Za-z])(?:[A-Za-z]\.\s*)+[A-Za-z]\.?(?![A-Za-z])"
-HONORIFIC = r"(?i)\A\s*(?:m\s*/\s*s\.?|messrs\.?)\s+"
+HONORIFIC = r"^\s*(?:m\s*/\s*s\.?|messrs\.?)\s+"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import fixed
 
-_initials, _honorific = re.compile(fixed.INITIALS), re.compile(fixed.HONORIFIC)
+_initials, _honorific = re.compile(fixed.INITIALS), re.compile(fixed.HONORIFIC, re.I)
 
 
 def basic(text: str | None) -> str:
@@ -58,31 +58,10 @@ def collapse_initials(text: str | None) -> str | None:
     return joined.strip()
 
 
-def split_legal(tokens: list[str], country: str | None, tables: dict = fixed.LEGAL_FORMS) -> tuple[list[str], list[str]]:
-    """Tokens without up to two legal forms at their end (the longest that fits; the first token always stays), and the forms' classes in order."""
-    table = tables.get(country) or tables["_generic"]
-    rest, classes = list(tokens), []
-    while len(classes) < 2:
-        ends = (" ".join(rest[i:]) for i in range(1, len(rest)))
-        form = next((e for e in ends if e in table), None)
-        if form is None:
-            break
-        del rest[-len(form.split()) :]
-        classes.insert(0, table[form])
-    return rest, classes
-
-
-def name_with_tables(name: str | None, country: str | None) -> tuple[str, str, str, str]:
-    """Core (without legal forms), clean (without stop words too), key, legal classes."""
-    core, classes = split_legal(spelt_tokens(name), country)
-    clean = [t for t in core if t not in fixed.STOP_WITH_TABLES] or core
-    return " ".join(core), " ".join(clean), key_of(clean), "+".join(classes)
-
-
 def norm_country(country: str | None) -> str | None:
     """Code of a known name; other names in upper case; null for none."""
-    k = fold(basic(country))
-    return fixed.COUNTRIES.get(k, k.upper()) or None
+    name = fold(basic(country))
+    return fixed.COUNTRIES[name] if name in fixed.COUNTRIES else name.upper() or None
 
 
 def norm_postal(code: str | None) -> str | None:
@@ -217,16 +196,19 @@ def nysiis(word: str) -> str:
     return key
 
 
-VIEWS = "name_norm string, name_fold string, name_clean string, name_key string, legal string, core_t string, clean_t string, key_t string, legal_t string, name_mp string, name_ny string, name_mp_key string"
+VIEWS = "name_norm string, name_fold string, name_clean string, name_key string, legal string, spelt string, code string, name_mp string, name_ny string, name_mp_key string"
 
 
 def name_views(name: Column, country: Column) -> Column:
-    """Struct VIEWS of all forms of a name (null: empty forms); distinct pairs of a batch are worked out once."""
+    """Struct of all forms of a name (null: empty forms): those of VIEWS, and core_t, clean_t, key_t, legal_t by the country tables.
+
+    Distinct pairs of a batch are worked out once; what the country tables say comes from expressions.
+    """
 
     def views(n: str | None, c: str | None) -> tuple:
         norm, tokens = basic(n), name_tokens(n)
         mp, ny = [metaphone(t) for t in tokens], [nysiis(t) for t in tokens]
-        return (norm, fold(norm), " ".join(tokens), key_of(tokens), legal_form(n), *name_with_tables(n, norm_country(c)), " ".join(mp), " ".join(ny), key_of([x for x in mp if x]))
+        return (norm, fold(norm), " ".join(tokens), key_of(tokens), legal_form(n), " ".join(spelt_tokens(n)), norm_country(c), " ".join(mp), " ".join(ny), key_of([x for x in mp if x]))
 
     @F.pandas_udf(VIEWS)
     def run(names: pd.Series, countries: pd.Series) -> pd.DataFrame:
@@ -234,7 +216,10 @@ def name_views(name: Column, country: Column) -> Column:
         rows = [memo.get(p) or memo.setdefault(p, views(*p)) for p in zip(names, countries, strict=True)]
         return pd.DataFrame(rows, columns=[x.split()[0] for x in VIEWS.split(", ")])
 
-    return run(name, country)
+    forms = run(name, country)
+    own = [x.split()[0] for x in VIEWS.split(", ") if x not in ("spelt string", "code string")]
+    tables = legal_views(forms["spelt"], forms["code"])
+    return F.struct(*[forms[c].alias(c) for c in own], *[tables[c].alias(c) for c in ("core_t", "clean_t", "key_t", "legal_t")])
 
 
 def mapped(rule, c: Column) -> Column:
@@ -294,3 +279,52 @@ def clean_tokens(c: Column) -> Column:
 
 def token_key(tokens: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(tokens)), " ")
+
+
+def legal_views(spelt_name: Column, code: Column, tables: dict = fixed.LEGAL_FORMS, passes: int = 2) -> Column:
+    """Struct (core_t, clean_t, key_t, legal_t) of a spelt name by the table of its country code: without the legal forms at
+    its end, without stop words too, the key of what is left, and the forms' classes in order.
+
+    One pattern per country finds the longest form at the end, as a search meets the leftmost start first; the first token
+    always stays. At most ``passes`` forms go.
+    """
+
+    def by_country(of) -> Column:
+        out = of(tables["_generic"])
+        for country, table in tables.items():
+            out = out if country == "_generic" else F.when(code == country, of(table)).otherwise(out)
+        return out
+
+    ending = lambda table: r"(?<=\S) (" + "|".join(table) + ")$"
+    core, classes = F.coalesce(spelt_name, F.lit("")), []
+    for _ in range(passes):
+        now = core
+        classes.insert(0, by_country(lambda t: F.try_element_at(F.create_map(*[F.lit(x) for kv in t.items() for x in kv]), F.regexp_extract(now, ending(t), 1))))  # noqa: B023
+        core = by_country(lambda t: F.regexp_replace(now, ending(t), ""))  # noqa: B023
+    left = without(words(core), fixed.STOP_WITH_TABLES)
+    clean = F.when(F.size(left) > 0, left).otherwise(words(core))
+    return F.struct(core.alias("core_t"), F.array_join(clean, " ").alias("clean_t"), token_key(clean).alias("key_t"), F.concat_ws("+", *classes).alias("legal_t"))
+
+
+# Scripts.
+
+
+def latin_table(spark, letters: list[str]) -> dict[str, str]:
+    """Latin ASCII for each character, by the ICU rules that come with Spark; what they leave beyond ASCII is dropped."""
+    icu = spark.sparkContext._jvm.com.ibm.icu.text.Transliterator.getInstance("Any-Latin; Latin-ASCII")
+    return {c: "".join(x for x in icu.transliterate(c) if x.isascii()) for c in letters}
+
+
+def transliterated(df, c: str, out: str):
+    """Adds the column in ASCII letters: each distinct character beyond ASCII is looked up once, then mapped by expressions.
+
+    The table holds characters, so that it is bounded by Unicode, not by the data. Null stays null.
+    """
+    beyond = F.regexp_replace(F.col(c), "[\\x{00}-\\x{7F}]", "")
+    letters = [r[0] for r in df.select(F.explode(F.array_distinct(F.split(beyond, ""))).alias("x")).where("x <> ''").distinct().collect()]
+    if not letters:
+        return df.withColumn(out, F.col(c))
+    table = latin_table(df.sparkSession, sorted(letters))
+    lookup = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    told = F.array_join(F.transform(F.split(F.col(c), ""), lambda x: F.coalesce(F.try_element_at(lookup, x), x)), "")
+    return df.withColumn(out, F.when(F.col(c).rlike("[^\\x{00}-\\x{7F}]"), told).otherwise(F.col(c)))

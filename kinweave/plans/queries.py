@@ -206,8 +206,20 @@ def key_hash(v: Views) -> DataFrame:
 
 @query()
 def transliterate(v: Views) -> DataFrame:
-    """Texts in Latin letters without marks, character by character from a table made of the library's own folding."""
-    return v.table("documents").select("doc_id", T.mapped(T.fold, F.col("text")).alias("latin"))
+    """Texts in ASCII letters, each character by ICU's rules."""
+    return T.transliterated(v.table("documents").select("doc_id", "text"), "text", "latin").drop("text")
+
+
+_LEGAL_ENDS = "|".join(sorted(fixed.LEGAL_FORMS["US"], key=len, reverse=True))
+
+
+@query(f"""WITH n AS (SELECT p_partkey, {V.NORM.replace('text', 'p_name')} || ' holding' || CASE p_partkey % 4 WHEN 0 THEN ' co llc' WHEN 1 THEN ' inc' WHEN 2 THEN ' l l c' ELSE '' END AS x FROM part),
+a AS (SELECT *, regexp_replace(x, ' ({_LEGAL_ENDS})$', '') AS y FROM n) SELECT p_partkey, regexp_replace(y, ' ({_LEGAL_ENDS})$', '') AS core, CASE p_partkey % 4 WHEN 0 THEN 'CO+LLC' WHEN 1 THEN 'INC' WHEN 2 THEN 'LLC' ELSE '' END AS legal FROM a""")
+def legal_split(v: Views) -> DataFrame:
+    """Legal forms by the country's table off the end of a name."""
+    ends = F.when(F.col("p_partkey") % 4 == 0, " co llc").when(F.col("p_partkey") % 4 == 1, " inc").when(F.col("p_partkey") % 4 == 2, " l l c").otherwise("")
+    names = v.table("part").select("p_partkey", F.concat(T.ascii_norm(F.col("p_name")), F.lit(" holding"), ends).alias("x"))
+    return names.select("p_partkey", T.legal_views(F.col("x"), F.lit("US")).alias("n")).select("p_partkey", F.col("n.core_t").alias("core"), F.col("n.legal_t").alias("legal"))
 
 
 # Addresses.

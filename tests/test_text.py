@@ -35,8 +35,9 @@ def test_dotted_initials_are_joined():
         ("acme pvt ltd", "IN", "acme", ["PVT_LTD"]), ("x sa", "ZZ", "x sa", []), ("x gmbh", "ZZ", "x", ["GMBH"]), ("sarl", "FR", "sarl", []),
     ],
 )
-def test_split_legal(name, country, core, classes):
-    assert T.split_legal(name.split(), country) == (core.split(), classes)
+def test_legal_forms_at_the_end(spark, name, country, core, classes):
+    row = spark.range(1).select(T.legal_views(T.F.lit(name), T.F.lit(country)).alias("v")).select("v.*").first()
+    assert (row["core_t"], row["legal_t"]) == (core, "+".join(classes))
 
 
 def test_country_and_postal():
@@ -72,3 +73,10 @@ def test_name_views_take_nulls(spark):
     rows = spark.createDataFrame([("Acme Pvt Ltd", "IN"), (None, None)], "n string, c string").select(T.name_views(T.F.col("n"), T.F.col("c")).alias("v")).select("v.*").collect()
     assert rows[0]["legal_t"] == "PVT_LTD" and rows[0]["clean_t"] == "acme"
     assert rows[1]["name_clean"] == ""
+
+
+def test_transliteration_takes_any_script(spark):
+    rows = spark.createDataFrame([("Москва",), ("東京 Café",), ("plain",), (None,), ("",)], "n string")
+    got = [r["l"] for r in T.transliterated(rows, "n", "l").collect()]
+    assert got[0] == "Moskva" and got[1].isascii() and got[1].endswith("Cafe") and got[1] != " Cafe"
+    assert got[2:] == ["plain", None, ""]
