@@ -124,26 +124,123 @@ def grid(mechanism: str) -> list[dict[str, float]]:
     return [p for p in points if mechanism != "multi_t2" or p["t2"] <= p["t"]]
 
 
-def tune(frame: DataFrame, truth: DataFrame, mechanism: str, points: list[dict[str, float]] | None = None) -> DataFrame:
-    """(<parameters>, f05) for all points of a grid at once: each entity's pairs are decided for every point, summed per entity, then averaged.
+def tune(frame: DataFrame, truth: DataFrame, mechanism: str, points: list[dict[str, float]] | None = None, by: str | None = None) -> DataFrame:
+    """(<by>, <parameters>, f05) for all points of a grid at once: each entity's pairs are decided for every point, summed per entity, then averaged.
 
-    ``frame``: ranked, with y. ``truth``: (e, n_true) of all entities that count.
+    ``frame``: ranked, with y. ``truth``: (e, n_true, <by>) of all entities that count.
     """
     points = points or grid(mechanism)
     names = list(points[0]) if points else []
-    spark = frame.sparkSession
+    spark, truth = frame.sparkSession, truth.select("e", "n_true", *([by] if by else []))
+    if not names:
+        points, names = [{"none": 0.0}], ["none"]
     table = spark.createDataFrame([tuple(p[n] for n in names) for p in points], ", ".join(f"`{n}` double" for n in names))
     every = F.broadcast(table)  # a few hundred rows, made here
     taken = frame.crossJoin(every).where(rule(mechanism, **{n: F.col(n) for n in names}))
     sums = taken.groupBy("e", *names).agg(F.sum("y").alias("tp"), F.count("*").alias("n_pred"))
     spine = truth.crossJoin(every).join(sums, ["e", *names], "left")
     score = f_beta(F.coalesce("tp", F.lit(0)), F.coalesce("n_pred", F.lit(0)), F.col("n_true"))
-    return spine.groupBy(*names).agg(F.round(F.avg(score), 6).alias("f05"))
+    return spine.groupBy(*([by] if by else []), *names).agg(F.round(F.avg(score), 6).alias("f05")).drop("none")
 
 
-def best_point(tuned: DataFrame, names: list[str]) -> DataFrame:
-    """The point with the best score; among equals the most conservative, the greatest parameters."""
-    return tuned.orderBy(F.col("f05").desc(), *[F.col(n).desc() for n in names]).limit(1)
+def best_point(tuned: DataFrame, names: list[str], by: str | None = None, conservative: bool = True) -> DataFrame:
+    """The point with the best score (for each ``by``); among equals the most conservative one, of great thresholds and small deltas, or the first of the grid."""
+    order = [F.col(n).desc() if conservative and n != "delta" else F.col(n).asc() for n in names]
+    w = (W.partitionBy(by) if by else W.partitionBy(F.lit(0))).orderBy(F.col("f05").desc(), *order)
+    return tuned.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")  # as many rows as the grid has points
+
+
+def accept(frame: DataFrame, mechanism: str, p: dict[str, float], exclusivity: str = "off", labels: DataFrame | None = None) -> DataFrame:
+    """The ranked frame with ``acc``: the rule's verdict under one owner per record ("off", "accepted", "all"). "auto" is "all"
+    where no record of the labels (e, r) has two entities, else "off"."""
+    if exclusivity == "auto":
+        from .audit import shared_records
+
+        exclusivity = "all" if shared_records(labels).isEmpty() else "off"
+    return exclusive(frame.withColumn("acc", F.coalesce(rule(mechanism, **p), F.lit(False))), exclusivity)
+
+
+def sole_owner(frame: DataFrame) -> DataFrame:
+    """The pairs that exclusivity over all candidates can accept; no rule's parameters enter, so a grid can be tuned on what is left."""
+    return exclusive(frame.withColumn("acc", F.lit(True)), "all").where("acc").drop("acc")
+
+
+def tune_by_bucket(frame: DataFrame, truth: DataFrame, mechanisms: tuple[str, ...] = ("top1_t", "top1_margin", "multi", "threshold"), grids: dict[str, list[dict[str, float]]] | None = None) -> DataFrame:
+    """(bucket, mechanism, f05, point): the best rule for each bucket of candidate counts, ``point`` a map of its parameters; earlier mechanisms win ties."""
+    counts = frame.groupBy("e").agg(F.count("*").alias("n"))
+    truth = truth.join(counts, "e", "left").withColumn("bucket", bucket(F.coalesce("n", F.lit(0))))
+    out = None
+    for i, m in enumerate(mechanisms):
+        points = (grids or {}).get(m) or grid(m)
+        names = list(points[0])
+        best = best_point(tune(frame, truth, m, points, "bucket"), names, "bucket", conservative=False)
+        one = best.select("bucket", F.lit(m).alias("mechanism"), "f05", F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))]).alias("point"), F.lit(i).alias("i"))
+        out = one if out is None else out.unionByName(one)
+    first = F.row_number().over(W.partitionBy("bucket").orderBy(F.col("f05").desc(), "i"))
+    return out.withColumn("__n", first).where("__n = 1").drop("__n", "i")
+
+
+def simulate_low_counts(frame: DataFrame, calib: DataFrame, held_out: DataFrame, sizes: tuple[int, ...] = (1, 2, 3, 4), mechanisms: tuple[str, ...] = ("top1_t", "top1_margin", "multi")) -> DataFrame:
+    """(n, mechanism, point, calib_f05, f05): as if retrieval had found the best n only, with each rule tuned on ``calib`` and scored on ``held_out``, both (e, n_true)."""
+    out = None
+    for n in sizes:
+        few = truncated(frame, n)
+        for m in mechanisms:
+            names = list(GRIDS[m])
+            best = best_point(tune(few.join(calib.select("e"), "e", "left_semi"), calib, m), names, conservative=False).first().asDict()
+            p = {k: best[k] for k in names}
+            score = tune(few.join(held_out.select("e"), "e", "left_semi"), held_out, m, [p] if p else None)
+            one = score.select(F.lit(n).alias("n"), F.lit(m).alias("mechanism"), F.to_json(F.create_map(*[F.lit(x) for kv in p.items() for x in kv]) if p else F.create_map()).alias("point"), F.lit(best["f05"]).alias("calib_f05"), "f05")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+GUARDS = [("cand_bucket", "2-4"), ("gt_type", "no_match"), ("cand_bucket", "0-1")]
+
+
+def tournament(frames: dict[str, DataFrame], calib: DataFrame, held_out: DataFrame, mechanisms: tuple[str, ...], grids: dict[str, list[dict[str, float]]] | None = None, exclusivity: tuple[str, ...] = ("off", "all"),
+               default: str | None = None, tolerance: float = 0.05, gate: float = 0.9) -> tuple[DataFrame, str]:
+    """Every rule on every frame, with and without exclusivity, and rules by bucket: (system, point, calib_f05, stratum, value, <summaries>), and the winner.
+
+    Rules are tuned on ``calib`` and judged on ``held_out``, both (e, n_true). A system falls out if it lies more than
+    ``tolerance`` below the best of a guarded stratum (few candidates, no match), unless all do. The best of the others
+    replaces the default only if it is better in a share ``gate`` of paired resamples of entities.
+    """
+    from .evaluate import bootstrap, per_entity, stratified
+
+    pairs_of = lambda df, who: df.join(who.select("e"), "e", "left_semi")
+    entities, reports = {}, []
+
+    def judge(name: str, decided: DataFrame, point: str, score: float | None) -> None:
+        entities[name] = per_entity(pairs_of(decided, held_out), held_out.select("e", "n_true")).withColumn("cand_bucket", bucket(F.col("cand_count")))
+        told = [F.lit(name).alias("system"), F.lit(point).alias("point"), F.lit(score).cast("double").alias("calib_f05")]
+        reports.append(stratified(entities[name], ["cand_bucket", "gt_type"]).select(*told, "*"))
+
+    for variant, frame in frames.items():
+        for mode in exclusivity:
+            within = sole_owner(frame) if mode == "all" else frame
+            for m in mechanisms:
+                points = (grids or {}).get(m) or grid(m)
+                best = best_point(tune(pairs_of(within, calib), calib, m, points), list(points[0]), conservative=False).first().asDict()
+                score = best.pop("f05")
+                judge(f"{variant}:{m}" + ("+excl" if mode == "all" else ""), accept(frame, m, best, mode), str(best), score)
+        if choice := {r["bucket"]: (r["mechanism"], r["point"]) for r in tune_by_bucket(pairs_of(frame, calib), calib, tuple(m for m in mechanisms if m in ("top1_t", "top1_margin", "multi", "threshold")) or mechanisms[:1], grids).collect()}:
+            counted = frame.withColumn("n", F.count("*").over(W.partitionBy("e")))
+            judge(f"{variant}:by_bucket", counted.withColumn("acc", hybrid(counted, choice)), str(choice), None)
+    table = reports[0]
+    for r in reports[1:]:
+        table = table.unionByName(r)
+    rows = table.select("system", "stratum", "value", "f05").collect()  # a row for each system and stratum
+    score = {(r["system"], r["stratum"], r["value"]): r["f05"] for r in rows}
+    best_in = {g: max((v for (_, *k), v in score.items() if tuple(k) == g), default=None) for g in GUARDS}
+    falls = {s for s in entities for g in GUARDS if (s, *g) in score and score[(s, *g)] < best_in[g] - tolerance}
+    standing = [s for s in entities if s not in falls] or list(entities)
+    top = max(standing, key=lambda s: score[(s, "all", "")])
+    default = default or next(iter(entities))
+    if top != default:
+        both = entities[default].select("e", F.col("f05").alias("a")).join(entities[top].select("e", F.col("f05").alias("b")), "e")
+        top = top if bootstrap(both, 400).first()["p_improve"] >= gate else default
+    return table, top
 
 
 def truncated(frame: DataFrame, n: int) -> DataFrame:

@@ -22,27 +22,75 @@ def per_entity(decided: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def summaries() -> list[Column]:
-    """What ``stratified`` reports; a ratio over nothing is null."""
-    some = lambda c: F.when(c > 0, c)
-    none = F.col("n_true") == 0
+    """Ten statistics of a table of entities; rates of a kind of entity are null where there is none."""
+    none, multi = F.col("gt_type") == "no_match", F.col("gt_type") == "multi"
+    at_least_one = lambda c: F.greatest(c, F.lit(1))
+    tp, fp, fn = F.sum("tp"), F.sum("fp"), F.sum("fn")
+    mtp, mfp, mfn = (F.sum(F.when(multi, F.col(c))) for c in ("tp", "fp", "fn"))
     return [
-        F.count("*").alias("entities"), F.round(F.avg("f05"), 4).alias("f05"), F.round(F.sum("tp") / some(F.sum("n_pred")), 4).alias("precision"),
-        F.round(F.sum("tp") / some(F.sum("n_true")), 4).alias("recall"), F.round(F.avg("n_pred"), 4).alias("mean_pred"),
+        F.count("*").alias("entities"), F.round(F.avg("f05"), 4).alias("f05"),
+        F.round(tp / at_least_one(tp + fp), 4).alias("pair_precision"), F.round(tp / at_least_one(tp + fn), 4).alias("pair_recall"),
         F.round(F.avg(F.when(none, (F.col("n_pred") > 0).cast("double"))), 4).alias("no_match_fp_rate"),
-        F.round(F.avg(F.when(~none, (F.col("tp") > 0).cast("double"))), 4).alias("found_any"),
-        F.round(F.avg(F.when(F.col("n_true") > 1, (F.col("fn") == 0).cast("double"))), 4).alias("multi_complete"),
+        F.round(F.when(mtp.isNotNull(), mtp / at_least_one(mtp + mfp)), 4).alias("multi_precision"), F.round(F.when(mtp.isNotNull(), mtp / at_least_one(mtp + mfn)), 4).alias("multi_recall"),
+        F.round(F.avg("fp"), 4).alias("fp_per_entity"), F.round(F.avg("fn"), 4).alias("fn_per_entity"), F.round(F.avg("n_pred"), 4).alias("accepted_per_entity"),
     ]
 
 
 def stratified(entities: DataFrame, strata: list[str]) -> DataFrame:
     """(stratum, value, <summaries>): all entities, then by each stratum; one scan with grouping sets."""
-    sets = ", ".join(["()", *(f"({s})" for s in strata)])
-    name = f"concat_ws('', {', '.join(f'if(grouping({s}) = 0, {chr(39)}{s}{chr(39)}, null)' for s in strata)})"
-    value = f"concat_ws('', {', '.join(f'if(grouping({s}) = 0, {s}, null)' for s in strata)})"
-    view = "kinweave_entities"
-    entities.createOrReplaceTempView(view)
-    keys = entities.sparkSession.sql(f"SELECT {name} AS stratum, {value} AS value, count(*) AS entities, round(avg(f05), 4) AS f05, round(sum(tp) / nullif(sum(n_pred), 0), 4) AS precision, round(sum(tp) / nullif(sum(n_true), 0), 4) AS recall FROM {view} GROUP BY GROUPING SETS ({sets})")
-    return keys.withColumn("stratum", F.when(F.col("stratum") == "", "all").otherwise(F.col("stratum")))
+    told = entities.withColumns({f"by_{s}": F.col(s).cast("string") for s in strata})
+    by = [f"by_{s}" for s in strata]
+    sums = told.groupingSets([[], *([F.col(b)] for b in by)], *by).agg(*[F.grouping(b).alias(f"no_{b}") for b in by], *summaries())
+    name, value = F.lit("all"), F.lit("")
+    for s, b in zip(strata, by, strict=True):
+        name, value = F.when(F.col(f"no_{b}") == 0, s).otherwise(name), F.when(F.col(f"no_{b}") == 0, F.col(b)).otherwise(value)
+    return sums.select(name.alias("stratum"), value.alias("value"), *[c for c in sums.columns if c not in by and not c.startswith("no_by_")])
+
+
+def pred_sets(decided: DataFrame, entities: DataFrame) -> DataFrame:
+    """(e, records): the set of accepted records, empty where there is none; one row per entity."""
+    sets = decided.where("acc").groupBy("e").agg(F.array_sort(F.collect_set("r")).alias("records"))
+    return entities.select("e").join(sets, "e", "left").withColumn("records", F.coalesce("records", F.array().cast(sets.schema["records"].dataType)))
+
+
+def score_lists(lists: DataFrame, labels: DataFrame, entities: DataFrame, sep: str = ",") -> DataFrame:
+    """(entities, f05): mean score of an output (e, ids) against labels (e, r); an entity that is missing predicts nothing."""
+    said = lists.select("e", F.explode(F.split("ids", sep)).alias("r")).where("r <> ''").distinct().withColumn("p", F.lit(1))
+    true = labels.select("e", "r").distinct().withColumn("t", F.lit(1))
+    sums = said.join(true, ["e", "r"], "full").groupBy("e").agg(F.count("p").alias("n_pred"), F.count("t").alias("n_true"), F.count(F.when(F.col("p").isNotNull() & F.col("t").isNotNull(), 1)).alias("tp"))
+    spine = entities.select("e").join(sums, "e", "left").fillna(0, ["n_pred", "n_true", "tp"])
+    return spine.agg(F.count("*").alias("entities"), F.round(F.avg(f_beta(F.col("tp"), F.col("n_pred"), F.col("n_true"))), 6).alias("f05"))
+
+
+CLASSES = ["no_match_false_positive", "over_selection", "retrieval_miss", "multi_under_selection", "model_miss", "decision_miss"]
+
+
+def diagnosis(analysis: DataFrame, target: float = 0.95) -> DataFrame:
+    """(measure, n, value): where to look first, on ``score_analysis``: share of true pairs retrieved and whether it reaches the
+    target, share of entities whose best true score beats the best false one, and what share of failures each class makes."""
+    seen = (F.col("retrieved_true") > 0) & F.col("best_false_score").isNotNull()
+    told = analysis.withColumn("class", error_class())
+    share = lambda a, b: F.round(a / F.when(b > 0, b), 6)
+    failures = F.count(F.when(F.col("class") != "correct", 1))
+    found = share(F.sum("retrieved_true"), F.sum("n_true"))
+    rows = [("recall", F.sum("n_true"), found), ("reaches_target", F.count("*"), (found >= target).cast("double")), ("separated", F.count(F.when(seen, 1)), share(F.count(F.when(seen & (F.col("best_true_score") > F.col("best_false_score")), 1)), F.count(F.when(seen, 1))))]
+    rows += [(c, F.count(F.when(F.col("class") == c, 1)), share(F.count(F.when(F.col("class") == c, 1)), failures)) for c in CLASSES]
+    one = told.agg(*[n.cast("long").alias(f"n_{m}") for m, n, _ in rows], *[v.alias(f"v_{m}") for m, _, v in rows])
+    return one.selectExpr(f"stack({len(rows)}, " + ", ".join(f"'{m}', n_{m}, v_{m}" for m, _, _ in rows) + ") as (measure, n, value)")
+
+
+def ambiguous_share(analysis: DataFrame, low: float = 0.2, high: float = 0.8) -> DataFrame:
+    """(errors, ambiguous, share): entities decided wrongly whose best score lies between the bounds, bounds included."""
+    wrong = analysis.withColumn("class", error_class()).where("class != 'correct'")
+    n = F.count(F.when(F.col("best_score").between(low, high), 1))
+    return wrong.agg(F.count("*").alias("errors"), n.alias("ambiguous"), F.round(n / F.greatest(F.count("*"), F.lit(1)), 6).alias("share"))
+
+
+def miss_kinds(missed: DataFrame, a: str, b: str) -> DataFrame:
+    """(kind, pairs) of true pairs that retrieval missed: the record has no name, at most one word is shared, or names are alike but others came before."""
+    tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.col(c)), F.lit(r"[\p{L}\p{N}_]+"), 0))
+    kind = F.when(F.trim(F.coalesce(F.col(b), F.lit(""))) == "", "missing_name").when(F.coalesce(F.size(F.array_intersect(tokens(a), tokens(b))), F.lit(0)) <= 1, "non_lexical").otherwise("outranked")
+    return missed.groupBy(kind.alias("kind")).agg(F.count("*").alias("pairs"))
 
 
 def score_analysis(decided: DataFrame, truth: DataFrame, t: float) -> DataFrame:

@@ -233,3 +233,45 @@ def embedding_top_k(vecs: DataFrame, queries: DataFrame, k: int, floor: float) -
     pairs = unit(queries, "e").withColumnRenamed("v", "ve").join(unit(vecs, "r"), F.col("e") != F.col("r"))
     scored = pairs.select("e", "r", F.round(dot(F.col("ve"), F.col("v")) / (F.col("norm_e") * F.col("norm_r")), DIGITS).alias("s"))
     return top_k(scored.where(F.col("s") >= floor), k)
+
+
+def recall_report(cand: DataFrame, truth: DataFrame, ent: DataFrame, rec: DataFrame, names: list[str]) -> DataFrame:
+    """(part, value, pairs, recall): how much of the truth a retrieval finds: all of it, by channel, by the record's source, by the
+    entity's country, of pairs across countries or scripts, and of pairs with a name in another script.
+
+    ``ent`` (e, name, country), ``rec`` (r, name, country, source). Each true pair is told its parts, then one aggregate sums
+    them up; ids must be unique on each side.
+    """
+    from .audit import non_latin
+
+    other = lambda c: F.coalesce(non_latin(F.col(c)), F.lit(False))
+    left = ent.select("e", F.col("country").alias("ec"), other("name").alias("eo"))
+    right = rec.select("r", F.col("country").alias("rc"), "source", other("name").alias("ro"))
+    hits = [F.coalesce(F.col(f"hit_{n}"), F.lit(0)) for n in names]
+    pairs = truth.select("e", "r").join(cand, ["e", "r"], "left").join(left, "e", "left").join(right, "r", "left")
+    found = F.greatest(*hits, F.lit(0)) if len(hits) > 1 else hits[0]
+    part = lambda p, v, f, when=None: F.when(F.lit(True) if when is None else when, F.struct(F.lit(p).alias("part"), v.cast("string").alias("value"), f.cast("int").alias("found")))
+    parts = [part("all", F.lit(""), found), *[part("channel", F.lit(n), h) for n, h in zip(names, hits, strict=True)], part("source", F.col("source"), found, F.col("source").isNotNull()), part("country", F.col("ec"), found, F.col("ec").isNotNull())]
+    parts += [part("cross_country", F.lit(""), found, ~F.col("ec").eqNullSafe(F.col("rc"))), part("cross_script", F.lit(""), found, F.col("eo") != F.col("ro")), part("other_script", F.lit(""), found, F.col("eo") | F.col("ro"))]
+    told = pairs.select(F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("x")).select("x.*")
+    return told.groupBy("part", "value").agg(F.count("*").alias("pairs"), F.round(F.avg("found"), 4).alias("recall"))
+
+
+def count_histogram(cand: DataFrame, entities: DataFrame, bounds: tuple[int, ...] = (1, 4, 20)) -> DataFrame:
+    """(bucket, entities, share) of candidate counts, each bucket from its bound up to but without the next, entities without candidates included."""
+    counts = entities.select("e").join(cand.groupBy("e").agg(F.count("*").alias("n")), "e", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    bucket = F.lit(f"from {bounds[-1]}")
+    for low, high in zip(reversed((0, *bounds[:-1])), reversed(bounds), strict=True):
+        bucket = F.when(F.col("n") < high, f"from {low}").otherwise(bucket)
+    sums = counts.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("entities"))
+    return sums.crossJoin(F.broadcast(counts.agg(F.count("*").alias("total")))).select("bucket", "entities", F.round(F.col("entities") / F.col("total"), 3).alias("share"))  # one row
+
+
+def channel_ablation(cand: DataFrame, truth: DataFrame, names: list[str]) -> DataFrame:
+    """(without, recall, candidates): what is left of a union when each channel is taken away; "" is the whole union. One pass over pairs."""
+    n = truth.count()
+    pairs = cand.join(truth.select("e", "r").withColumn("true", F.lit(1)), ["e", "r"], "left")
+    cases = [("", F.lit(True)), *[(c, F.col("n_channels") > F.col(f"hit_{c}")) for c in names]]
+    one = pairs.agg(*[F.count(F.when(keep & F.col("true").isNotNull(), 1)).alias(f"t{i}") for i, (_, keep) in enumerate(cases)], *[F.count(F.when(keep, 1)).alias(f"n{i}") for i, (_, keep) in enumerate(cases)])
+    rows = one.selectExpr(f"stack({len(cases)}, " + ", ".join(f"'{c}', t{i}, n{i}" for i, (c, _) in enumerate(cases)) + ") as (without, hits, candidates)")
+    return rows.select("without", F.round(F.col("hits") / F.lit(float(max(n, 1))), DIGITS).alias("recall"), "candidates")

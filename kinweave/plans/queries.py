@@ -12,7 +12,7 @@ from ..functions import address as A
 from ..functions import fixed
 from ..functions import similarity as S
 from ..functions import text as T
-from ..operators import audit, decision, evaluate, features, model
+from ..operators import audit, decision, evaluate, features, model, pairs
 from ..operators import retrieval as R
 from . import views as V
 from .views import Views
@@ -49,9 +49,56 @@ def gt_explode(v: Views) -> DataFrame:
     return labels(rows, "e", "ids")
 
 
-@query("SELECT c_custkey AS id, nullif(CASE WHEN c_acctbal < 0 THEN '' ELSE c_name END, '') AS name, nullif(c_mktsegment, '') AS address FROM customer")
+@query("SELECT 'S1-' || c_custkey AS entity_id, CASE WHEN c_acctbal >= 0 THEN c_name END AS business_name, nullif(c_mktsegment, '') AS business_address, 'US' AS country, 's' AS source FROM customer")
 def canonical_project(v: Views) -> DataFrame:
-    return v.table("customer").select(F.col("c_custkey").alias("id"), F.nullif(F.when(F.col("c_acctbal") < 0, "").otherwise(F.col("c_name")), F.lit("")).alias("name"), F.nullif("c_mktsegment", F.lit("")).alias("address"))
+    from ..sources.tsv import canonical
+
+    rows = v.table("customer").select(F.concat(F.lit("S1-"), F.col("c_custkey").cast("string")).alias("entity_id"), F.when(F.col("c_acctbal") < 0, "").otherwise(F.col("c_name")).alias("business_name"), F.col("c_mktsegment").alias("business_address"), F.lit("US").alias("country"))
+    return canonical(rows, "S1-", "s")
+
+
+@query("""WITH x AS (SELECT c_custkey, 'S1-' || c_custkey AS e FROM customer), l AS (SELECT 'S1-' || o_custkey AS e, 'S2-' || o_orderkey AS r FROM orders WHERE o_custkey % 7 <> 3)
+SELECT 'entities_without_line' AS rule, false AS fatal, (SELECT count(*) FROM x WHERE e NOT IN (SELECT e FROM l)) AS n UNION ALL SELECT 'repeated_lines', false, 0 UNION ALL SELECT 'other_prefix', true, 0
+UNION ALL SELECT 'unknown_record', true, (SELECT count(*) FROM l WHERE substr(r, 4)::BIGINT % 5 = 0) UNION ALL SELECT 'unknown_entity', true, 0""")
+def label_report(v: Views) -> DataFrame:
+    from ..sources import dataset, tsv
+
+    orders = v.table("orders").where("o_custkey % 7 <> 3").select(F.concat(F.lit("S1-"), F.col("o_custkey").cast("string")).alias("source1_entity_id"), F.concat(F.lit("S2-"), F.col("o_orderkey").cast("string")).alias("r"))
+    lines = orders.groupBy("source1_entity_id").agg(F.array_join(F.collect_list("r"), ",").alias("matched_entity_ids"))
+    ent = v.table("customer").select(F.concat(F.lit("S1-"), F.col("c_custkey").cast("string")).alias("entity_id"))
+    rec = v.table("orders").where("o_orderkey % 5 <> 0").select(F.concat(F.lit("S2-"), F.col("o_orderkey").cast("string")).alias("record_id"))
+    return dataset.label_report(lines, tsv.labels(lines), ent, rec)
+
+
+_OUT = """l AS (SELECT 'S1-' || o_custkey AS e, string_agg(CASE WHEN o_orderkey % 11 = 0 THEN 'S1-' WHEN o_orderkey % 13 = 0 THEN ' S2-' ELSE 'S2-' END || o_orderkey, ',') AS ids, 2 + (o_custkey % 9 = 1)::INT AS fields FROM orders GROUP BY o_custkey),
+i AS (SELECT e, unnest(string_split(ids, ',')) AS r FROM l)"""
+
+
+@query(f"""WITH {_OUT}, x AS (SELECT 'S1-' || c_custkey AS e FROM customer WHERE c_custkey % 4 <> 2) SELECT 'too_many_fields' AS rule, e AS key FROM l WHERE fields > 2 UNION ALL SELECT 'missing_entity', e FROM x WHERE e NOT IN (SELECT e FROM l)
+UNION ALL SELECT 'unknown_entity', e FROM l WHERE e NOT IN (SELECT e FROM x) UNION ALL SELECT DISTINCT 'blank_id', e FROM i WHERE r <> trim(r) UNION ALL SELECT 'other_prefix', e || '>' || r FROM i WHERE starts_with(r, 'S1-')
+UNION ALL SELECT 'unknown_record', e || '>' || r FROM i WHERE r = trim(r) AND (starts_with(r, 'S1-') OR substr(r, 4)::BIGINT % 3 = 0)""")
+def output_checks(v: Views) -> DataFrame:
+    from ..sources import dataset
+
+    k = F.col("o_orderkey")
+    one = F.concat(F.when(k % 11 == 0, "S1-").when(k % 13 == 0, " S2-").otherwise("S2-"), k.cast("string"))
+    lines = v.table("orders").groupBy("o_custkey").agg(F.array_join(F.collect_list(one), ",").alias("ids")).select(F.concat(F.lit("S1-"), F.col("o_custkey").cast("string")).alias("e"), "ids", (2 + (F.col("o_custkey") % 9 == 1).cast("int")).alias("fields"))
+    ent = v.table("customer").where("c_custkey % 4 <> 2").select(F.concat(F.lit("S1-"), F.col("c_custkey").cast("string")).alias("e"))
+    return dataset.list_issues(lines, ent, v.table("orders").where("o_orderkey % 3 <> 0").select(F.concat(F.lit("S2-"), k.cast("string")).alias("r")))
+
+
+@query("SELECT user_id AS value, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, value LIMIT 10")
+def most_common(v: Views) -> DataFrame:
+    from ..sources.dataset import most_common
+
+    return most_common(v.table("events"), "user_id")
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY value DESC, event_id) AS k FROM events) WHERE k = 1")
+def first_of_group(v: Views) -> DataFrame:
+    from ..sources.dataset import first_of
+
+    return first_of(v.table("events").select("user_id", "event_type", "event_id", "value"), ["event_type", "user_id"], [F.col("value").desc(), F.col("event_id")])
 
 
 @query("""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS value FROM documents), f AS (SELECT value, len(string_split(value, ' | ')) AS n, trim(value) = '' AS blank FROM l)
@@ -429,6 +476,28 @@ def recall_at_k(v: Views) -> DataFrame:
     return R.recall_at(_union(v), v.truth(), "word", RECALL_KS)
 
 
+@query(f"""WITH {_UNION}, m AS (SELECT truth.e, truth.r, coalesce(hit_exact, 0) AS hx, coalesce(hit_word, 0) AS hw, ent.country AS ec, rec.country AS rc, rec.source, regexp_matches(regexp_replace(ent.name, '[\\x{{0000}}-\\x{{024F}}]', '', 'g'), '\\p{{L}}') AS eo, regexp_matches(regexp_replace(rec.name, '[\\x{{0000}}-\\x{{024F}}]', '', 'g'), '\\p{{L}}') AS ro FROM truth LEFT JOIN cand USING (e, r) JOIN ent ON ent.e = truth.e JOIN rec ON rec.r = truth.r),
+p AS (SELECT 'all' AS part, '' AS value, greatest(hx, hw) AS f FROM m UNION ALL SELECT 'channel', 'exact', hx FROM m UNION ALL SELECT 'channel', 'word', hw FROM m UNION ALL SELECT 'source', source, greatest(hx, hw) FROM m WHERE source IS NOT NULL UNION ALL SELECT 'country', ec, greatest(hx, hw) FROM m WHERE ec IS NOT NULL
+UNION ALL SELECT 'cross_country', '', greatest(hx, hw) FROM m WHERE ec IS DISTINCT FROM rc UNION ALL SELECT 'cross_script', '', greatest(hx, hw) FROM m WHERE eo <> ro UNION ALL SELECT 'other_script', '', greatest(hx, hw) FROM m WHERE eo OR ro)
+SELECT part, value, count(*) AS pairs, round(avg(f), 4) AS recall FROM p GROUP BY part, value""")
+def recall_by_part(v: Views) -> DataFrame:
+    return R.recall_report(_union(v), v.truth(), v.ent(), v.rec(), ["exact", "word"])
+
+
+@query(f"WITH {_UNION}, c AS (SELECT ent.e, count(cand.r) AS n FROM ent LEFT JOIN cand ON ent.e = cand.e GROUP BY 1), b AS (SELECT CASE WHEN n < 1 THEN 'from 0' WHEN n < 4 THEN 'from 1' WHEN n < 20 THEN 'from 4' ELSE 'from 20' END AS bucket FROM c) SELECT bucket, count(*) AS entities, round(count(*) / (SELECT count(*) FROM c)::DOUBLE, 3) AS share FROM b GROUP BY bucket")
+def candidate_histogram(v: Views) -> DataFrame:
+    return R.count_histogram(_union(v), v.ent())
+
+
+def _without_sql(c: str, keep: str) -> str:
+    return f"SELECT '{c}' AS without, round((SELECT count(*) FROM cand JOIN truth USING (e, r) WHERE {keep}) / (SELECT count(*) FROM truth)::DOUBLE, 6) AS recall, (SELECT count(*) FROM cand WHERE {keep}) AS candidates"
+
+
+@query(f"WITH {_UNION} {_without_sql('', 'true')} UNION ALL {_without_sql('exact', 'hit_word = 1')} UNION ALL {_without_sql('word', 'hit_exact = 1')}")
+def channel_ablation(v: Views) -> DataFrame:
+    return R.channel_ablation(_union(v), v.truth(), ["exact", "word"])
+
+
 @query(f"WITH {_UNION}, c AS (SELECT ent.e, count(cand.r) AS n FROM ent LEFT JOIN cand ON ent.e = cand.e GROUP BY 1) SELECT " + ", ".join(f"quantile_cont(n, {p})::DOUBLE AS p{int(p * 100)}" for p in (0.5, 0.75, 0.9, 0.95, 0.99)) + ", max(n) AS most, round(avg(n), 6) AS mean, count(*) FILTER (n = 0) AS without FROM c")
 def candidate_distribution(v: Views) -> DataFrame:
     return R.candidate_distribution(_union(v), v.ent())
@@ -482,6 +551,32 @@ def eq_features(v: Views) -> DataFrame:
     return _pairs(v).select("e", "r", S.equal(c("eh"), c("rh")).alias("house_eq"), S.equal(c("ep"), c("rp")).alias("postal_eq"), S.equal(c("ey"), c("ry")).alias("city_eq"), S.equal(F.substring("ep", 1, 3), F.substring("rp", 1, 3)).alias("postal_prefix_eq"))
 
 
+def _jw_sql(x: str, y: str) -> str:
+    return f"CASE WHEN coalesce({x}, '') <> '' AND coalesce({y}, '') <> '' THEN round(jaro_winkler_similarity({x}, {y}), 6) END"
+
+
+def _rank_sql(c: str, key: str, name: str, pct: bool = True) -> str:
+    w = f"coalesce({c}, 0)"
+    out = f"rank() OVER (PARTITION BY {key} ORDER BY {w} DESC)::INT AS {name}_rank, round(max({w}) OVER (PARTITION BY {key}) - {w}, 6) AS {name}_gap"
+    return out + (f", round((rank() OVER (PARTITION BY {key} ORDER BY {w}) + (count(*) OVER (PARTITION BY {key}, {w}) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY {key}), 6) AS {name}_pct" if pct else "")
+
+
+_SIDES = "string_split({0}h || ' ' || {0}c || ' ' || {0}y, ' ')"
+
+
+@query(f"""WITH {_PAIRS}, x AS (SELECT *, ec || ' ' || ey AS en, rc || ' ' || ry AS rn, {_SIDES.format('e')} AS ea, {_SIDES.format('r')} AS ra FROM pairs), f AS (SELECT *, {_jw_sql('en', 'rn')} AS jw FROM x)
+SELECT e, r, jw, {_jw_sql('ec', 'rc')} AS street_jw, {_jw_sql('ey', 'ry')} AS city_jw, (eh = rh)::INT::DOUBLE AS house_eq, (ep = rp)::INT::DOUBLE AS postal_eq, (ey = ry)::INT::DOUBLE AS city_eq, (substr(ep, 1, 3) = substr(rp, 1, 3))::INT::DOUBLE AS postal_prefix_eq,
+round(len(list_intersect(string_split(en, ' '), string_split(rn, ' '))) / len(list_distinct(list_concat(string_split(en, ' '), string_split(rn, ' '))))::DOUBLE, 6) AS jaccard, (eh = rh)::INT::DOUBLE AS num_overlap, round(len(list_intersect(ea, ra)) / len(list_distinct(ea))::DOUBLE, 6) AS addr_containment,
+1 AS e_has_name, 1 AS r_has_addr, 1 AS r_has_postal, 1 AS r_source, NULL::DOUBLE AS unit_eq, s AS addr_score, count(*) OVER (PARTITION BY e) AS cand_count, {_rank_sql('jw', 'e', 'rel_jw')}, count(*) OVER (PARTITION BY r) AS rec_n_entities,
+round(CASE WHEN eh = rh THEN 2.5::DOUBLE ELSE -0.5::DOUBLE END + CASE WHEN jw >= 0.92 THEN 1.25::DOUBLE ELSE -1.0::DOUBLE END, 6) AS fs_weight FROM f""")
+def pair_features(v: Views) -> DataFrame:
+    """The features of address pairs that SQL can say, from the whole table of features."""
+    side = lambda df, key: df.select(key, F.concat_ws(" ", "core", "city").alias("name"), "house", F.col("core").alias("street"), "city", "postal", F.array("house").alias("numbers"), F.concat_ws(" ", "house", "core", "city").alias("address"), F.lit("b").alias("source"))
+    cand = _addr_channel(v).select("e", "r", F.col("s").alias("addr_score"))
+    out = pairs.build(cand, side(v.suppliers(), "e").drop("source"), side(v.customers(), "r"), weights={"house_eq": (2.5, -0.5), "jw_hi": (1.25, -1.0)}, sources=["a", "b"])
+    return out.select("e", "r", "jw", "street_jw", "city_jw", "house_eq", "postal_eq", "city_eq", "postal_prefix_eq", "jaccard", "num_overlap", "addr_containment", "e_has_name", "r_has_addr", "r_has_postal", "r_source", "unit_eq", "addr_score", "cand_count", "rel_jw_rank", "rel_jw_gap", "rel_jw_pct", "rec_n_entities", "fs_weight")
+
+
 _NAMES = "np AS (SELECT a.p_name AS x, b.p_name AS y FROM (SELECT DISTINCT p_name FROM part) a, (SELECT DISTINCT p_name FROM part) b WHERE split_part(a.p_name, ' ', 1) = split_part(b.p_name, ' ', 1) OR split_part(a.p_name, ' ', 2) = split_part(b.p_name, ' ', 2))"
 
 
@@ -672,6 +767,30 @@ def tune_grid(v: Views) -> DataFrame:
     return decision.tune(decision.ranked(v.scored()), v.truth_counts(), "multi", _POINTS)
 
 
+@query(f"""WITH {V.RANKED}, {V.TRUTHS}, {_GRID}, c AS (SELECT truths.e, n_true, CASE WHEN coalesce(n, 0) <= 1 THEN '0-1' WHEN n <= 4 THEN '2-4' WHEN n <= 20 THEN '5-20' ELSE '20+' END AS bucket FROM truths LEFT JOIN (SELECT e, count(*) AS n FROM scored GROUP BY e) USING (e)),
+p AS (SELECT e, t, delta, sum(y) AS tp, count(*) AS n_pred FROM ranked, g WHERE s >= t AND top - s <= delta GROUP BY e, t, delta), x AS (SELECT bucket, t, delta, n_true, coalesce(tp, 0) AS tp, coalesce(n_pred, 0) AS n_pred FROM c CROSS JOIN g LEFT JOIN p USING (e, t, delta)),
+z AS (SELECT bucket, t, delta, round(avg({V.F05}), 6) AS f05 FROM x GROUP BY bucket, t, delta) SELECT bucket, 'multi' AS mechanism, f05, t, delta FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY f05 DESC, t, delta) AS k FROM z) WHERE k = 1""")
+def tuned_by_bucket(v: Views) -> DataFrame:
+    best = decision.tune_by_bucket(decision.ranked(v.scored()), v.truth_counts(), ("multi",), {"multi": _POINTS})
+    return best.select("bucket", "mechanism", "f05", F.col("point")["t"].alias("t"), F.col("point")["delta"].alias("delta"))
+
+
+@query(f"WITH {V.RANKED}, b AS (SELECT *, max(s) OVER (PARTITION BY r) AS m FROM ranked), n AS (SELECT *, sum((s >= m - 1e-12)::INT) OVER (PARTITION BY r) AS k FROM b) SELECT e, r, s FROM n WHERE s >= 0.4 AND top - s <= 0.2 AND s >= m - 1e-12 AND k = 1")
+def dec_accept_auto(v: Views) -> DataFrame:
+    """One owner per record where the labels have none with two."""
+    frame = decision.ranked(v.scored())
+    return decision.accept(frame, "multi", {"t": 0.4, "delta": 0.2}, "auto", frame.where("y = 1").select("e", "r")).where("acc").select("e", "r", "s")
+
+
+@query()
+def tournament(v: Views) -> DataFrame:
+    """Rules tuned on half of the entities and judged on the others."""
+    truth = v.truth_counts()
+    half = F.pmod(F.xxhash64("e"), F.lit(2))
+    few = {"multi": _POINTS, "threshold": [{"t": t} for t in (0.2, 0.4, 0.6, 0.8)]}
+    return decision.tournament({"raw": decision.ranked(v.scored())}, truth.where(half == 0), truth.where(half == 1), ("multi", "threshold"), few)[0]
+
+
 @query(f"WITH {V.RANKED}, {V.TRUTHS}, k AS (SELECT unnest([1, 2, 3, 4]) AS n), d AS (SELECT k.n, e, sum(y) AS tp, count(*) AS n_pred FROM ranked, k WHERE rk <= k.n AND s >= 0.4 AND top - s <= 0.2 GROUP BY k.n, e), x AS (SELECT k.n, n_true, coalesce(tp, 0) AS tp, coalesce(n_pred, 0) AS n_pred FROM truths CROSS JOIN k LEFT JOIN d ON d.e = truths.e AND d.n = k.n) SELECT n, round(avg({V.F05}), 6) AS f05 FROM x GROUP BY n")
 def low_count_sim(v: Views) -> DataFrame:
     frame, out = decision.ranked(v.scored()), None
@@ -706,8 +825,9 @@ def macro_f05(v: Views) -> DataFrame:
     return _per(v).agg(F.round(F.avg("f05"), 6).alias("f05"))
 
 
-_SUMMARY = """count(*) AS entities, round(avg(f05), 4) AS f05, round(sum(tp)::DOUBLE / nullif(sum(n_pred), 0), 4) AS precision, round(sum(tp)::DOUBLE / nullif(sum(n_true), 0), 4) AS recall, round(avg(n_pred), 4) AS mean_pred,
-round(avg(CASE WHEN n_true = 0 THEN (n_pred > 0)::INT::DOUBLE END), 4) AS no_match_fp_rate, round(avg(CASE WHEN n_true <> 0 THEN (tp > 0)::INT::DOUBLE END), 4) AS found_any, round(avg(CASE WHEN n_true > 1 THEN (fn = 0)::INT::DOUBLE END), 4) AS multi_complete"""
+_SUMMARY = """count(*) AS entities, round(avg(f05), 4) AS f05, round(sum(tp)::DOUBLE / greatest(sum(tp) + sum(fp), 1), 4) AS pair_precision, round(sum(tp)::DOUBLE / greatest(sum(tp) + sum(fn), 1), 4) AS pair_recall,
+round(avg(CASE WHEN n_true = 0 THEN (n_pred > 0)::INT::DOUBLE END), 4) AS no_match_fp_rate, round((sum(tp) FILTER (n_true > 1))::DOUBLE / greatest(sum(tp + fp) FILTER (n_true > 1), 1), 4) AS multi_precision,
+round((sum(tp) FILTER (n_true > 1))::DOUBLE / greatest(sum(tp + fn) FILTER (n_true > 1), 1), 4) AS multi_recall, round(avg(fp), 4) AS fp_per_entity, round(avg(fn), 4) AS fn_per_entity, round(avg(n_pred), 4) AS accepted_per_entity"""
 
 
 @query(f"WITH {_PER} SELECT {_SUMMARY} FROM per")
@@ -715,7 +835,7 @@ def summary(v: Views) -> DataFrame:
     return _per(v).agg(*evaluate.summaries())
 
 
-_STRATA = "SELECT '{0}' AS stratum, {1} AS value, count(*) AS entities, round(avg(f05), 4) AS f05, round(sum(tp)::DOUBLE / nullif(sum(n_pred), 0), 4) AS precision, round(sum(tp)::DOUBLE / nullif(sum(n_true), 0), 4) AS recall FROM b{2}"
+_STRATA = "SELECT '{0}' AS stratum, {1} AS value, " + _SUMMARY.replace("{", "{{").replace("}", "}}") + " FROM b{2}"
 _BUCKETS = "b AS (SELECT *, CASE WHEN cand_count <= 1 THEN '0-1' WHEN cand_count <= 4 THEN '2-4' WHEN cand_count <= 20 THEN '5-20' ELSE '20+' END AS cand_bucket FROM per)"
 
 
@@ -750,6 +870,45 @@ def error_crosstab(v: Views) -> DataFrame:
     return _analysis(v).select(evaluate.error_class().alias("error_class"), kind.alias("g")).groupBy("error_class").pivot("g", ["no_match", "single", "multi"]).count().fillna(0)
 
 
+@query(f"WITH {_DECIDED} SELECT truths.e, coalesce(array_to_string(rs, ','), '') AS records FROM truths LEFT JOIN (SELECT e, list_sort(list_distinct(list(r))) AS rs FROM decided WHERE acc GROUP BY e) d ON d.e = truths.e")
+def pred_sets(v: Views) -> DataFrame:
+    return evaluate.pred_sets(_decided(v), v.truth_counts()).select("e", F.array_join(F.transform("records", lambda x: x.cast("string")), ",").alias("records"))
+
+
+@query(f"WITH {_PER} SELECT count(*) AS entities, round(avg(f05), 6) AS f05 FROM per")
+def score_output(v: Views) -> DataFrame:
+    """The score of lists as an output file holds them."""
+    lists = decision.match_lists(_decided(v), v.truth_counts()).select("e", F.col("matches").alias("ids"))
+    return evaluate.score_lists(lists, v.scored().where("y = 1").select("e", F.col("r").cast("string").alias("r")), v.truth_counts())
+
+
+_SHARE = "round({0} / nullif({1}, 0)::DOUBLE, 6)"
+
+
+def _class_sql(c: str) -> str:
+    n = f"count(*) FILTER (error_class = '{c}')"
+    failures = "count(*) FILTER (error_class <> 'correct')"
+    return f"SELECT '{c}', {n}, {_SHARE.format(n, failures)} FROM cl"
+
+
+@query(f"WITH {_ANALYSIS} SELECT 'recall' AS measure, sum(n_true)::BIGINT AS n, {_SHARE.format('sum(retrieved_true)', 'sum(n_true)')} AS value FROM cl UNION ALL SELECT 'reaches_target', count(*), (sum(retrieved_true) / sum(n_true) >= 0.95)::INT::DOUBLE FROM cl UNION ALL SELECT 'separated', count(*), {_SHARE.format('count(*) FILTER (best_true_score > best_false_score)', 'count(*)')} FROM cl WHERE retrieved_true > 0 AND best_false_score IS NOT NULL UNION ALL "
+       + " UNION ALL ".join(_class_sql(c) for c in evaluate.CLASSES))
+def diagnosis(v: Views) -> DataFrame:
+    return evaluate.diagnosis(_analysis(v))
+
+
+@query(f"WITH {_ANALYSIS}, w AS (SELECT * FROM cl WHERE error_class <> 'correct') SELECT count(*) AS errors, count(*) FILTER (best_score BETWEEN 0.2 AND 0.8) AS ambiguous, round(count(*) FILTER (best_score BETWEEN 0.2 AND 0.8) / greatest(count(*), 1)::DOUBLE, 6) AS share FROM w")
+def ambiguous_errors(v: Views) -> DataFrame:
+    return evaluate.ambiguous_share(_analysis(v))
+
+
+@query("WITH p AS (SELECT a.p_name AS x, CASE WHEN b.p_partkey % 5 = 0 THEN '' ELSE b.p_name END AS y FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1), k AS (SELECT CASE WHEN trim(y) = '' THEN 'missing_name' WHEN len(list_intersect(regexp_extract_all(lower(x), '\\w+'), regexp_extract_all(lower(y), '\\w+'))) <= 1 THEN 'non_lexical' ELSE 'outranked' END AS kind FROM p) SELECT kind, count(*) AS pairs FROM k GROUP BY kind")
+def miss_kinds(v: Views) -> DataFrame:
+    part = v.table("part")
+    after = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.when(F.col("p_partkey") % 5 == 0, "").otherwise(F.col("p_name")).alias("y"))
+    return evaluate.miss_kinds(part.select("p_partkey", F.col("p_name").alias("x")).join(after, "p_partkey"), "x", "y")
+
+
 def _two_systems(v: Views) -> DataFrame:
     a = _per(v).select("e", F.col("f05").alias("a"))
     b = evaluate.per_entity(decision.ranked(v.scored()).withColumn("acc", decision.rule("multi", t=0.2, delta=0.9)), v.truth_counts()).select("e", F.col("f05").alias("b"))
@@ -765,7 +924,6 @@ def paired_bootstrap(v: Views) -> DataFrame:
 def stratum_regressions(v: Views) -> DataFrame:
     after = evaluate.per_entity(decision.ranked(v.scored()).withColumn("acc", decision.rule("multi", t=0.95, delta=0.01)), v.truth_counts())
     before = evaluate.stratified(_per(v), ["gt_type"])
-    before = before.sparkSession.createDataFrame(before.collect(), before.schema)  # a row per stratum
     return evaluate.regressions(before, evaluate.stratified(after, ["gt_type"]), drop=0.0001)
 
 
