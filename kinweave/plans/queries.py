@@ -12,7 +12,7 @@ from ..functions import address as A
 from ..functions import fixed
 from ..functions import similarity as S
 from ..functions import text as T
-from ..operators import audit, decision, evaluate, features, model, pairs
+from ..operators import audit, decision, evaluate, features, model, pairs, system
 from ..operators import retrieval as R
 from . import views as V
 from .views import Views
@@ -38,6 +38,16 @@ def words_sql(names) -> str:
     return "[" + ", ".join(f"'{w}'" for w in sorted(names)) + "]"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a local one only where driver and executors are one process."""
+    import tempfile
+
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.partition("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (named or "file://" + tempfile.mkdtemp(prefix="kinweave-")).rstrip("/")
+
+
 # Sources and audits.
 
 
@@ -668,6 +678,16 @@ def gbt_scores(v: Views) -> DataFrame:
     return model.predict(model.fit_trees(rows, _MODEL_FEATURES, rounds=5, depth=3), rows, _MODEL_FEATURES).select("e", "r.*", "s")
 
 
+@query()
+def train_predict(v: Views) -> DataFrame:
+    """Trees, calibration and threshold from the training entities, then decisions for the others."""
+    rows = _training(v).withColumn("r", F.col("r.l_orderkey") * 10 + F.col("r.l_linenumber"))
+    rows = rows.join(model.entity_split(rows.select("e").distinct()), "e")
+    truth = rows.groupBy("e", "split").agg(F.sum("y").alias("n_true"))
+    fitted = system.train(rows, truth, _MODEL_FEATURES, "threshold", rounds=5, depth=3)
+    return fitted.decide(rows.where("split in ('val', 'test')")).select("e", "r", "s", "acc")
+
+
 @query()
 def rank_scores(v: Views) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
@@ -952,12 +972,11 @@ def subset_violations(v: Views) -> DataFrame:
 @query()
 def tsv_roundtrip(v: Views) -> DataFrame:
     """Suppliers written as tab-separated text and read back."""
-    import tempfile
+    import uuid
 
     from ..sources import tsv
 
-    named = v.spark.conf.get("spark.checkpoint.dir", None)
-    path = f"{named or 'file://' + tempfile.mkdtemp()}/suppliers-{abs(hash(v.dir))}.tsv"
+    path = f"{shared_folder(v.spark)}/suppliers-{uuid.uuid4().hex}.tsv"
     rows = v.table("supplier").select(F.concat(F.lit("S1-"), F.col("s_suppkey").cast("string")).alias("entity_id"), F.col("s_name").alias("business_name"))
     header = v.spark.createDataFrame([("entity_id\tbusiness_name",)], "value string")
     header.unionByName(rows.select(F.concat_ws("\t", "entity_id", "business_name").alias("value"))).coalesce(1).write.mode("overwrite").text(path)
