@@ -71,7 +71,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first, then text hash, then line. The first copy of a line always stays. Lines are what \\n parts; lines without a
     word match nothing, and go where they lie inside a least stretch that goes. Rows with equal id and text count as one document
     and come out alike. A null text stays null (line_count 0), an empty text is one line without a word; a text all of
-    whose lines go is empty. Columns of the same names as those added are replaced.
+    whose lines go is empty. Columns of the same names as those added are replaced. Ids are whole numbers, or text that spells one; any other is an error.
+    An empty table gives no rows.
     """
     lines = F.split("__text", "\n", -1)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long"))

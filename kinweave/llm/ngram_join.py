@@ -358,7 +358,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words the whole sequence. Rows with Jaccard similarity of 0.8 or more are linked; the component is the least id that
     links reach. Null or empty texts, and those without words, have no n-grams and are linked with nothing. Rows with
     equal ids (null ones too) are one document with the union of their sets, repeated in the result. Other columns are
-    not read. An empty table gives no rows.
+    not read. Ids are whole numbers, or text that spells one; any other is an error. An empty table gives no rows.
     """
     parts = partitions(docs.sparkSession)
     table_ = stored(indexed_sets(shared_grams(pack_sets(docs, id_col, text_col, 2 * parts), parts)), "ngram-sets")

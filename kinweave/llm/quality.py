@@ -79,9 +79,15 @@ def _sample(labels: DataFrame, id_col: str, label_col: str, sample: int) -> Data
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = LABELLED_SAMPLE) -> QualityModel:
-    """Count n-grams of all texts and of the trusted ones (label 1), then find the threshold. Null texts are empty."""
+    """Count n-grams of all texts and of the trusted ones (label 1), then find the threshold.
+
+    Of labelled rows at most ``sample`` of each label count, those with the least hashes of their ids; rows without label or
+    id are passed over. Where documents share an id, all are counted, and that of the least text stands for it when the
+    threshold is found. Null texts are empty. Without trusted texts (an empty table too) all scores and the threshold are 0;
+    without texts of both labels every score passes.
+    """
     chosen = _sample(labels, id_col, label_col, sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(chosen, "id", "left").select("text", "label")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(chosen, "id", "left").select("text", "label", "id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_texts, trusted = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -110,7 +116,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([model.score(t) for t in batch.column(0).to_pylist()], pa.float64()), batch.column(1)], ["score", "label"])
 
-    labelled = rows.where("label is not null").mapInArrow(scores, "score double, label int").orderBy("score", "label").limit(4 * sample).toPandas()
+    one = rows.where("label is not null").groupBy("id", "label").agg(F.min("text").alias("text"))  # twice ``sample`` rows at most
+    labelled = one.select("text", "label").mapInArrow(scores, "score double, label int").orderBy("score", "label").toPandas()
     if len(set(labelled["label"])) < 2:
         model.threshold = -np.inf
         return model
@@ -127,7 +134,11 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def quality(docs: DataFrame, model: QualityModel, text_col: str = "text", min_words: int = 20, most_repeated: int = 30) -> DataFrame:
-    """All columns of ``docs``, COUNTS, quality_score, base_failed and kept. A null text has no words; columns of these names are replaced."""
+    """All columns of ``docs``, COUNTS, quality_score, base_failed and kept; columns of these names are replaced.
+
+    One row for each, equal texts judged alike, ids of any type not looked at. A null, empty or blank text has no words and
+    fails; texts are read whole, however long. A score equal to the threshold is kept. An empty table gives no rows.
+    """
     added = [*(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("quality_score", T.DoubleType()), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())]
     docs = docs.drop(*(f.name for f in added))
     schema = T.StructType([*docs.schema.fields, *added])

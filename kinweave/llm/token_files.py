@@ -240,7 +240,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str, id_col: str
     Null ids come first, rows with equal ids follow each other by their text, a null text counts as empty (its end id is
     written all the same). A task writes a range of ids to files of about ``ids_per_file`` ids, so what it holds is
     bounded; a document is never split. Each file is moved into place when whole, under a name of its own for each
-    attempt, and only those that the finished tasks name are read. An empty table gives no files.
+    attempt, and only those that the finished tasks name are read. Texts are encoded whole, however long. Ids are whole numbers, or text that spells one; any other is an error.
+    Other columns are not read. An empty table gives no files.
     """
     spark = docs.sparkSession
 

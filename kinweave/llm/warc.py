@@ -129,6 +129,9 @@ def write_archives(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_
     Of rows with equal payloads of ``min_bytes`` or more, those with the largest id (nulls are least) are responses, the
     others revisit it; smaller payloads are all responses. A null payload is empty. Payloads move once, to meet the
     largest id of their digest; a frequent payload's rows can be split, as that side of the join has one row a digest.
+    Rows with equal ids and payloads are records of their own, responses all where theirs is the largest id. Payloads of
+    any length are written whole. Ids are whole numbers, or text that spells one; any other is an error. A null url has a key of its own. Other columns are
+    not read. An empty table gives no archives and no entries.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.when(F.length("payload") >= min_bytes, F.unhex(F.sha1("payload"))))

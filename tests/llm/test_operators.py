@@ -217,6 +217,39 @@ def test_op4_score_is_the_mean_log_ratio():
     assert quality.QualityModel(weights).score("ab") == 2.0
 
 
+def test_op4_verdicts_by_brute_force(spark):
+    """Counts in plain loops, and every threshold between two scores tried."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    good = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None and r["doc_id"] in texts}
+    every, trusted = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    for i, t in texts.items():
+        for b in quality.buckets(t):
+            every[b] += 1
+            trusted[b] += good.get(i) == 1
+    share = lambda c: (c + quality.SMOOTHING) / (c.sum() + quality.SMOOTHING * quality.BUCKETS)
+    weights = np.log(share(trusted) / share(every))
+    score = {i: float(np.mean([weights[b] for b in quality.buckets(t)])) for i, t in texts.items()}
+    sides = [[score[i] for i, y in good.items() if y == k] for k in (0, 1)]
+    gain = lambda t: np.mean([s < t for s in sides[0]]) - 5 * np.mean([s < t for s in sides[1]])
+    model = quality.fit_quality(docs, labels)
+    cuts = sorted(set(sides[0] + sides[1]))
+    assert gain(model.threshold) == pytest.approx(max(0.0, *(gain((a + b) / 2) for a, b in zip(cuts, cuts[1:], strict=False))))
+    rows = quality.op4_quality(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r["quality_score"] == pytest.approx(score[r["doc_id"]])
+        assert r["kept"] == (not r["base_failed"] and score[r["doc_id"]] >= model.threshold)
+
+
+def test_op4_one_text_an_id_finds_the_threshold(spark):
+    rows = [(i, ("good plain words here " if i % 2 else "zzz qqq xxx ") * 9) for i in range(20)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    once, often = (quality.fit_quality(d, labels, sample=10) for d in (docs, docs.unionByName(docs).unionByName(docs)))
+    for m in (once, often):
+        assert m.score(rows[1][1]) > m.threshold > m.score(rows[0][1])
+
+
 def test_op4_odd_rows(spark, docs, empty):
     labels = spark.createDataFrame([(0, 1), (7, 0), (None, 1), (3, None)], "doc_id long, quality int")
     rows = quality.quality(docs.drop("n"), quality.fit_quality(docs, labels)).collect()
