@@ -117,7 +117,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([pa.array([model.score(t) for t in batch.column(0).to_pylist()], pa.float64()), batch.column(1)], ["score", "label"])
 
     one = rows.where("label is not null").groupBy("id", "label").agg(F.min("text").alias("text"))  # twice ``sample`` rows at most
-    labelled = one.select("text", "label").mapInArrow(scores, "score double, label int").orderBy("score", "label").toPandas()
+    labelled = one.select("text", "label").mapInArrow(scores, "score double, label int").toPandas().sort_values(["score", "label"])
     if len(set(labelled["label"])) < 2:
         model.threshold = -np.inf
         return model
