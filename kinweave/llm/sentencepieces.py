@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table, without_cycles
+from .common import kept, slices, table, without_cycles
 
 MARK = "▁"
 LONG = 64  # characters of a stretch from which on it gets a heap of its own
@@ -193,7 +193,7 @@ class MergeVocabulary:
         return [b"".join(map(get, ps)) for ps in parts]
 
 
-_vocabularies: dict[str, MergeVocabulary] = {}
+_vocabularies: dict[str, MergeVocabulary] = kept.setdefault("sentencepieces", {})
 
 
 def vocabulary(path: str) -> MergeVocabulary:
@@ -213,11 +213,11 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     texts have their end id alone. The id may be of any type, null or repeated: every row gives one row. Other columns
     are not read, whatever their names. Texts may be of any length. An empty table gives no rows.
     """
-    kept = RESULT if with_ids else RESULT[:-1]
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(n, t) for n, t, _ in kept)])
+    told = RESULT if with_ids else RESULT[:-1]
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(n, t) for n, t, _ in told)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        without_cycles()
+        without_cycles("sentencepieces")
         v = vocabulary(model)
         end = array("i", [v.end]).tobytes()
         for batch in batches:
@@ -233,7 +233,7 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 if with_ids:
                     flat = np.frombuffer(b"".join(data), np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *columns[0]]), pa.int32()), pa.array(flat)))
-                arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, _, t) in zip(columns, kept, strict=True)]
+                arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, _, t) in zip(columns, told, strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column(0), *arrays], schema.names)
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
