@@ -39,3 +39,24 @@ def test_rows_of_one_id_are_one_entity(spark):
     ent = spark.createDataFrame([(1, "stone river"), (1, "lamp garden"), (None, "stone river")], "e long, name string")
     rec = spark.createDataFrame([(7, "lamp garden stone river"), (8, "mirror"), (9, "")], "r long, name string")
     assert [tuple(x) for x in R.Space(ent, rec, words).pairs(0.4).collect()] == [(1, 7, 1.0)]
+
+
+def test_copies_make_no_row_for_each_pair(spark, monkeypatch):
+    """A join for a top k leaves the best of each entity and task, of each group of records if there are such, ties by id; none of the best is lost."""
+    ent = spark.createDataFrame([(e, ["a", "b", "c"]) for e in range(12)], "id long, tokens array<string>").withColumn("keep", F.lit(True))
+    rows = [(1000 - k, ["a", "b", "c"] if k % 3 else ["a", "b", "d"], "xyz"[k % 2]) for k in range(90)]
+    rec = spark.createDataFrame(rows, "id long, tokens array<string>, group string").withColumn("keep", F.lit(True))
+    best = lambda df, k: sorted(tuple(x) for x in R.top_k(df, k).collect())
+    plain = rec.drop("group")
+    for size in (40, blocks.BUNDLE):
+        monkeypatch.setattr(blocks, "BUNDLE", size)
+        whole = blocks.pairs(ent, plain, 0.2, 12)
+        few = blocks.pairs(ent, plain, 0.2, 12, 4)
+        assert whole.count() == 12 * 90
+        assert best(few, 4) == best(whole, 4)
+        if size > 40:
+            assert few.count() == 12 * 4
+        few = blocks.pairs(ent, rec, 0.2, 12, 4)
+        for g in "xy":
+            of = rec.where(F.col("group") == g).select(F.col("id").alias("r"))
+            assert best(few.join(of, "r", "left_semi"), 4) == best(whole.join(of, "r", "left_semi"), 4)
