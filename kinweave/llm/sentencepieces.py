@@ -30,7 +30,7 @@ from .common import kept, slices, table, without_cycles
 MARK = "▁"
 LONG = 64  # characters of a stretch from which on it gets a heap of its own
 #: Stretches kept, of two generations: the older goes when the younger is full, and what it held is encoded anew if met again.
-CACHED = 800_000
+CACHED = 150_000
 NONE = np.int64(1 << 40)  # rank of a pair that doesn't merge
 
 
@@ -203,7 +203,7 @@ def vocabulary(path: str) -> MergeVocabulary:
 
 
 RESULT = [("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string()), ("agrees", T.BooleanType(), pa.bool_()), ("ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))]
-BATCH, BATCH_BYTES = 1024, 8_000_000  # texts encoded together, at most
+BATCH, BATCH_BYTES = 1024, 1_000_000  # texts encoded together, at most, but for single ones that are longer: a batch's parts and lists of ids take some 30 times its bytes
 
 
 def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
