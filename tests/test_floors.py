@@ -64,3 +64,27 @@ def test_sweep_covers_the_references_floors(spark):
     rows = QUERIES["retrieval_sweep"](spark, "/root/testdata/sf0.001").collect()
     assert {0.2, 0.3, 0.4, 0.5} <= {r["floor"] for r in rows}
     assert {10, 20} <= {r["k"] for r in rows}
+
+
+def test_pair_features_by_hand(spark, small, tmp_path):
+    """Against plain dictionaries; an item in two rows is one item with the words of both, and no row is made for a token of a pair."""
+    _, items, turns = small
+    items = items | {100 + k: f"other{k} words{k}" for k in range(10)}
+    rows = [(e, t) for e, t in items.items()] + [(3, "copper stone harbour")]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    turns = turns | {41000: "unheard " + items[5], 42000: items[6], 43000: "garden words7 " + items[3]}
+    spark.createDataFrame([(r // 1000, 0, "user", t) for r, t in turns.items()], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    items = items | {3: items[3] + " copper stone harbour"}
+    df = collections.Counter(t for x in items.values() for t in set(x.split()))
+    idf = lambda t: math.log((1 + len(rows)) / (1 + df[t])) + 1
+    result = QUERIES["idf_pair_features"](spark, str(tmp_path))
+    assert "Generate" not in result._jdf.queryExecution().toString()
+    found = {(x["e"], x["r"]): tuple(x)[2:] for x in result.collect()}
+    assert len(found) == result.count() and (3, 43000) in found and (5, 41000) in found
+    for (e, r), got in found.items():
+        x, y = set(items[e].split()), set(turns[r].split())
+        shared, apart = [idf(t) for t in x & y], [idf(t) for t in x ^ y]
+        rare = lambda ws: sum(w >= 3.0 - 1e-9 for w in ws)
+        expected = sum(shared), max(shared), sum(apart), rare(shared), rare(map(idf, x - y)), 0, sum(t not in df for t in y), sum(shared) / sum(shared + apart)
+        assert got == pytest.approx(expected, abs=2e-6), (e, r)
+    assert found[6, 42000][2] == 0 and found[6, 42000][7] == 1 and found[107, 43000][3] == 1
