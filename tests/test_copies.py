@@ -51,3 +51,11 @@ def test_classes_give_the_same_best(spark, copied):
     v = Views(spark, copied)
     best = lambda df: sorted(tuple(r) for r in df.select("e", "r", "s", "rank").collect())
     assert best(R.class_top_k(v.ent(), v.rec(), v.word_space(), 0.4, 20)) == best(R.top_k(R.cosine_pairs(*v.word_space(), 0.4), 20))
+
+
+def test_difference_reads_each_set_once(spark, copied):
+    union, apart = QUERIES["candidate_union"](spark, copied), QUERIES["candidate_set_symdiff"](spark, copied)
+    assert "LeftAnti" not in apart._jdf.queryExecution().toString()
+    expected = {(x["e"], x["r"]): "a" if x["hit_exact"] else "b" for x in union.collect() if x["n_channels"] == 1}
+    rows = apart.collect()
+    assert len(rows) == len(expected) and {(x["e"], x["r"]): x["side"] for x in rows} == expected
