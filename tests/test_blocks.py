@@ -4,6 +4,8 @@ import collections
 import math
 import random
 
+import numpy as np
+
 from kinweave.operators import blocks
 from kinweave.operators import retrieval as R
 from pyspark.sql import functions as F
@@ -60,3 +62,39 @@ def test_copies_make_no_row_for_each_pair(spark, monkeypatch):
         for g in "xy":
             of = rec.where(F.col("group") == g).select(F.col("id").alias("r"))
             assert best(few.join(of, "r", "left_semi"), 4) == best(whole.join(of, "r", "left_semi"), 4)
+
+
+def test_few_pairs_are_computed_in_full(tmp_path, monkeypatch):
+    """Of rows in two languages, all in several bundles and small steps, k best pairs of each row are found, ties by rank, with about as many computed in full."""
+    rng = np.random.default_rng(3)
+
+    def bundle(n):
+        m = np.zeros((n, 120))
+        for row in m:
+            at = 60 * rng.integers(2)
+            row[at + np.minimum(59, rng.pareto(0.7, 40).astype(int))] = rng.random(40) + 0.5
+        m[n // 2] = m[0]
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        row, number = np.nonzero(m)
+        known, token = np.unique(number, return_inverse=True)
+        ids = rng.permutation(100_000)[:n].tolist()
+        return m, ids, blocks._path(str(tmp_path), blocks._put(str(tmp_path), {"side": "r", "ids": ids, "group": [None] * n, "row": row.astype(np.int32), "token": token.astype(np.int32), "w": m[row, number], "number": known}))
+
+    left, right = [[bundle(n) for n in sizes] for sizes in ((150, 90), (200, 160, 170))]
+    monkeypatch.setattr(blocks, "CELLS", 3000)
+    monkeypatch.setattr(blocks, "STEPS", 500)
+    x, y = (blocks._gather([b[2] for b in side]) for side in (left, right))
+    assert len(x["parts"]) > 2
+    full = []
+    monkeypatch.setattr(blocks, "_in_full", lambda *a, f=blocks._in_full: full.append(len(a[3])) or f(*a))
+    cosine = {(e, r): s for m, es, _ in left for n, rs, _ in right for e, row in zip(es, np.round(m @ n.T, 6), strict=True) for r, s in zip(rs, row, strict=True)}
+    rank = np.argsort(np.argsort(y["ids"]))
+    found = {(x["ids"][i], y["ids"][j]): s for some in blocks.meet(x, y, 0.2) for i, j, s in zip(*some, strict=True)}
+    assert set(found) == {p for p, s in cosine.items() if s >= 0.2} and all(abs(s - cosine[p]) < 2e-6 for p, s in found.items())
+    for held in (blocks.HELD, 100):
+        monkeypatch.setattr(blocks, "HELD", held)
+        full.clear()
+        near = [(x["ids"][i], -s, y["ids"][j]) for some in blocks.meet(x, y, 0.2, 3, rank=rank) for i, j, s in zip(*some, strict=True)]
+        assert held == 100 or sum(full) < 4 * 3 * 240 < len(found) / 2
+        for e in x["ids"]:
+            assert sorted(p for p in near if p[0] == e)[:3] == sorted((e, -s, r) for (o, r), s in found.items() if o == e)[:3]
