@@ -31,7 +31,7 @@ MARK = "▁"
 LONG = 64  # characters of a stretch from which on it gets a heap of its own
 #: Stretches kept, of two generations: the older goes when the younger is full, and what it held is encoded anew if met again.
 CACHED = 150_000
-NONE = np.int64(1 << 40)  # rank of a pair that doesn't merge
+NONE = np.int32(1 << 30)  # rank of a pair that doesn't merge
 
 
 class MergeVocabulary:
@@ -48,7 +48,7 @@ class MergeVocabulary:
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.end = sp.eos_id()
         # A character that is no piece is the symbol size + code point.
-        self.symbol = np.arange(n, n + 0x110000, dtype=np.int64)
+        self.symbol = np.arange(n, n + 0x110000, dtype=np.int32)
         for p, i in pieces.items():
             if len(p) == 1:
                 self.symbol[ord(p)] = i
@@ -62,6 +62,13 @@ class MergeVocabulary:
                     merges[a << 21 | b] = (order[scores[i]], i)
         self.merges = merges
         self._table(merges)
+        # The piece of each rank, -1 where merged pieces have equal scores.
+        made = set(merges.values())
+        times = np.bincount([rank for rank, _ in made], minlength=len(order)) if made else np.zeros(len(order), np.int64)
+        self._piece = np.full(len(order), -1, np.int32)
+        for rank, piece in made:
+            if times[rank] == 1:
+                self._piece[rank] = piece
         inside = {c for p in pieces if len(p) > 1 for c in p}
         # Marks that no piece has after another kind of character: a stretch ends before them, and is met more often.
         follow = {p[k] for p in pieces for k in range(1, len(p)) if p[k - 1] != p[k] and (p[k - 1].isalnum() or p[k - 1] == MARK)}
@@ -82,7 +89,7 @@ class MergeVocabulary:
         """The merges as an open-addressing hash table, looked up for many pairs at once."""
         bits = max(8, (4 * len(merges)).bit_length())
         self._shift = np.uint64(64 - bits)
-        self._slots, self._ranks, self._merged = np.full((1 << bits) + 64, -1, np.int64), np.full((1 << bits) + 64, NONE), np.zeros((1 << bits) + 64, np.int64)
+        self._slots, self._ranks, self._merged = np.full((1 << bits) + 64, -1, np.int64), np.full((1 << bits) + 64, NONE), np.zeros((1 << bits) + 64, np.int32)
         self._reach = 0
         for key, (rank, piece) in merges.items():
             at = home = int(self._home(np.array([key]))[0])
@@ -94,9 +101,9 @@ class MergeVocabulary:
     def _home(self, key: np.ndarray) -> np.ndarray:
         return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self._shift).astype(np.int64)
 
-    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and merged piece of pairs of symbols."""
-        key = (left << 21 | right).ravel()
+    def _pairs(self, left: np.ndarray, right: np.ndarray, what: np.ndarray, other: int) -> np.ndarray:
+        """What the table has for pairs of symbols, ranks or merged pieces; the other for those that don't merge."""
+        key = (left.astype(np.int64) << 21 | right).ravel()
         at = self._home(key)
         found = self._slots[at]
         miss = np.flatnonzero((found != key) & (found >= 0))
@@ -106,33 +113,37 @@ class MergeVocabulary:
             at[miss] += 1
             found[miss] = self._slots[at[miss]]
             miss = miss[(found[miss] != key[miss]) & (found[miss] >= 0)]
-        ranks = np.where(found == key, self._ranks[at], NONE)
-        return ranks.reshape(left.shape), self._merged[at].reshape(left.shape)
+        return np.where(found == key, what[at], other).reshape(left.shape)
 
     def _rows(self, texts: list[str]) -> None:
         """Put the ids of texts of one length into the cache; every round pops the best pair of each row's agenda."""
         symbols = self.symbol[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)].reshape(len(texts), -1)
         rows, names = np.arange(len(texts)), np.array(texts, object)
-        ranks, to = self._pairs(symbols[:, :-1], symbols[:, 1:])
+        ranks = self._pairs(symbols[:, :-1], symbols[:, 1:], self._ranks, NONE)
         while len(rows):
             wide = symbols.shape[1]
             best = ranks.argmin(1) if wide > 1 else None
-            done = ranks[np.arange(len(rows)), best] == NONE if wide > 1 else np.ones(len(rows), bool)
+            rank = ranks[np.arange(len(rows)), best] if wide > 1 else None
+            done = rank == NONE if wide > 1 else np.ones(len(rows), bool)
             if done.any():
                 self._keep(names[rows[done]].tolist(), symbols[done])
                 if done.all():
                     break
-                go = ~done
-                rows, symbols, ranks, to, best = rows[go], symbols[go], ranks[go], to[go], best[go]
+                go = np.flatnonzero(~done)
+                rows, symbols, ranks, best, rank = rows[go], symbols.take(go, 0), ranks.take(go, 0), best[go], rank[go]
             # Close the gap: the pair's first place takes the piece, its second place and the pair itself go.
-            each, column = np.arange(len(rows)), np.arange(wide - 1)
-            symbols[each, best] = to[each, best]
-            at = best[:, None]
-            symbols = np.where(column <= at, symbols[:, :-1], symbols[:, 1:])
-            ranks, to = (np.where(column[:-1] < at, x[:, :-1], x[:, 1:]) for x in (ranks, to))
+            each, column = np.arange(len(rows)), np.arange(wide - 1, dtype=np.int16)
+            to = self._piece[rank]
+            if len(tied := np.flatnonzero(to < 0)):
+                to[tied] = self._pairs(symbols[tied, best[tied]], symbols[tied, best[tied] + 1], self._merged, 0)
+            symbols[each, best] = to
+            before = column < best[:, None].astype(np.int16)
+            ranks = np.where(before[:, :-1], ranks[:, :-1], ranks[:, 1:])
+            before[each, best] = True
+            symbols = np.where(before, symbols[:, :-1], symbols[:, 1:])
             for side, has in ((best - 1, best > 0), (best, best < wide - 2)):
-                r, c = each[has], side[has]
-                ranks[r, c], to[r, c] = self._pairs(symbols[r, c], symbols[r, c + 1])
+                r, c = np.flatnonzero(has), side[has]
+                ranks[r, c] = self._pairs(symbols[r, c], symbols[r, c + 1], self._ranks, NONE)
 
     def _keep(self, texts: list[str], symbols: np.ndarray) -> None:
         wide, data = 4 * symbols.shape[1], symbols.astype("<i4").tobytes()

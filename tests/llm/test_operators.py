@@ -541,6 +541,21 @@ def test_agenda_is_the_library():
     assert v._ids(v._heap(long)) == np.frombuffer(v.cache.pop(long), "<i4").tolist()
 
 
+def test_agenda_holds_ranks_alone():
+    """Matrices of 32-bit numbers; merged pieces come from their ranks, from the pairs only where scores are equal."""
+    v = sentencepieces.MergeVocabulary(P.path("piece_bpe_32k.model"))
+    assert v.symbol.dtype == v._ranks.dtype == np.int32 and (v._piece >= 0).any() and (v._piece < 0).any()
+    asked = []
+    v._pairs = lambda left, right, what, other, f=v._pairs: asked.append(what is v._merged) or f(left, right, what, other)
+    texts = ["another small ring", "the first one there", "internationalization  of 1234567 things \u2581\u2581 \U0001f600"]
+    once = v.encode(texts)
+    assert [np.frombuffer(x, "<i4").tolist() for x in once] == v.lib.encode(texts, num_threads=1)
+    few = sum(asked)
+    v.cache, asked[:] = {"": b""}, []
+    v._piece[:] = -1
+    assert v.encode(texts) == once and few < sum(asked)
+
+
 def test_stretches_outlive_their_generation(monkeypatch):
     v = sentencepieces.MergeVocabulary(P.path("piece_bpe_32k.model"))
     monkeypatch.setattr(sentencepieces, "CACHED", 3)
