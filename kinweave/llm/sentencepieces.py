@@ -4,7 +4,7 @@ An agenda holds the adjacent symbol pairs whose concatenation is a piece, ordere
 first among equals. The best pair is merged, its two neighbour pairs are scored anew, and so on until the agenda is
 empty. Symbols that are no piece become byte pieces. Pieces never reach over a space mark that follows something else,
 so that a text's stretches between such places are encoded apart; each distinct short stretch is encoded once, many of
-one length together as the rows of a matrix (each row is an agenda), and long stretches one by one with a heap.
+one length together as the columns of a matrix (each column is an agenda), and long stretches one by one with a heap.
 
 Every whole text's ids are compared with those of the sentencepiece library, batch by batch; a column tells which agree.
 """
@@ -17,10 +17,12 @@ import re
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +34,7 @@ LONG = 64  # characters of a stretch from which on it gets a heap of its own
 #: Stretches kept, of two generations: the older goes when the younger is full, and what it held is encoded anew if met again.
 CACHED = 150_000
 NONE = np.int32(1 << 30)  # rank of a pair that doesn't merge
+NOTHING = np.int32((1 << 21) - 1)  # a symbol that merges with none
 
 
 class MergeVocabulary:
@@ -83,7 +86,8 @@ class MergeVocabulary:
             self.stretch = re.compile(rf"{MARK}*[^\W_]+(?=[{apart}])|{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.cache: dict[str, bytes] = {"": b""}
         self._older: dict[str, bytes] = {}
-        self.decimal = [f"{i} " for i in range(n)]
+        # Each id in decimals with a blank after it, filled up with zero bytes to a number of 64 bits.
+        self._decimal = np.array([b"%d " % i for i in range(n)], "S8").view(np.uint64)
 
     def _table(self, merges: dict) -> None:
         """The merges as an open-addressing hash table, looked up for many pairs at once."""
@@ -115,41 +119,44 @@ class MergeVocabulary:
             miss = miss[(found[miss] != key[miss]) & (found[miss] >= 0)]
         return np.where(found == key, what[at], other).reshape(left.shape)
 
+    def _agenda(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, bits: int) -> np.ndarray:
+        """Entries of agendas, the least of which merges first: a pair's rank, then its place in so many bits; from NONE on it doesn't merge."""
+        return np.minimum(self._pairs(left, right, self._ranks, NONE), NONE >> bits) << bits | place
+
     def _rows(self, texts: list[str]) -> None:
-        """Put the ids of texts of one length into the cache; every round pops the best pair of each row's agenda."""
-        symbols = self.symbol[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)].reshape(len(texts), -1)
-        rows, names = np.arange(len(texts)), np.array(texts, object)
-        ranks = self._pairs(symbols[:, :-1], symbols[:, 1:], self._ranks, NONE)
-        while len(rows):
-            wide = symbols.shape[1]
-            best = ranks.argmin(1) if wide > 1 else None
-            rank = ranks[np.arange(len(rows)), best] if wide > 1 else None
-            done = rank == NONE if wide > 1 else np.ones(len(rows), bool)
-            if done.any():
-                self._keep(names[rows[done]].tolist(), symbols[done])
-                if done.all():
-                    break
-                go = np.flatnonzero(~done)
-                rows, symbols, ranks, best, rank = rows[go], symbols.take(go, 0), ranks.take(go, 0), best[go], rank[go]
-            # Close the gap: the pair's first place takes the piece, its second place and the pair itself go.
-            each, column = np.arange(len(rows)), np.arange(wide - 1, dtype=np.int16)
-            to = self._piece[rank]
+        """Put the ids of texts of one length, below 512, into the cache; every round pops the best pair of each text's agenda."""
+        n, wide = len(texts), len(texts[0])
+        bits = wide.bit_length()
+        # A row for each place and a column for each text; nothing merges with what lies before the first place and after the last.
+        symbols, agenda = np.full((wide + 2, n), NOTHING), np.full((wide + 1, n), NONE)
+        symbols[1:-1] = self.symbol[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)].reshape(n, wide).T
+        agenda[1:-1] = self._agenda(symbols[1:-2], symbols[2:-1], np.arange(1, wide, dtype=np.int32)[:, None], bits)
+        symbol, entry = symbols.reshape(-1), agenda.reshape(-1)
+        before, after = np.arange(-n, (wide + 1) * n), np.arange(n, (wide + 3) * n)
+        while len(go := np.flatnonzero((best := agenda.min(0)) < NONE)):
+            best = best[go]
+            place = best & ((1 << bits) - 1)
+            left = place * np.int64(n) + go
+            right, prior = after[left], before[left]
+            then = after[right]
+            to = self._piece[best >> bits]
             if len(tied := np.flatnonzero(to < 0)):
-                to[tied] = self._pairs(symbols[tied, best[tied]], symbols[tied, best[tied] + 1], self._merged, 0)
-            symbols[each, best] = to
-            before = column < best[:, None].astype(np.int16)
-            ranks = np.where(before[:, :-1], ranks[:, :-1], ranks[:, 1:])
-            before[each, best] = True
-            symbols = np.where(before, symbols[:, :-1], symbols[:, 1:])
-            for side, has in ((best - 1, best > 0), (best, best < wide - 2)):
-                r, c = np.flatnonzero(has), side[has]
-                ranks[r, c] = self._pairs(symbols[r, c], symbols[r, c + 1], self._ranks, NONE)
+                to[tied] = self._pairs(symbol[left[tied]], symbol[right[tied]], self._merged, 0)
+            # The pair's first place takes the piece; its second place is left out from now on.
+            symbol[left], symbol[right], entry[right] = to, -1, NONE
+            after[left], before[then] = then, left
+            anew = self._agenda(np.concatenate((symbol[prior], to)), np.concatenate((to, symbol[then])), np.concatenate(((prior // n).astype(np.int32), place)), bits)
+            entry[prior], entry[left] = anew[: len(go)], anew[len(go) :]
+        self._keep(texts, symbols[1:-1].T)
 
     def _keep(self, texts: list[str], symbols: np.ndarray) -> None:
-        wide, data = 4 * symbols.shape[1], symbols.astype("<i4").tobytes()
-        self.cache.update(zip(texts, [data[k : k + wide] for k in range(0, len(data), wide)], strict=True))
-        for k in np.flatnonzero((symbols >= self.size).any(1)).tolist():  # characters that are no piece
-            self.cache[texts[k]] = array("i", self._ids(symbols[k].tolist())).tobytes()
+        left = symbols >= 0
+        ends, flat = [0, *(4 * np.cumsum(left.sum(1))).tolist()], symbols[left].astype("<i4")
+        data = flat.tobytes()
+        self.cache.update(zip(texts, [data[i:j] for i, j in pairwise(ends)], strict=True))
+        if flat.max() >= self.size:  # characters that are no piece
+            for k in np.flatnonzero((symbols >= self.size).any(1)).tolist():
+                self.cache[texts[k]] = array("i", self._ids(symbols[k][left[k]].tolist())).tobytes()
 
     def _heap(self, text: str) -> list[int]:
         """Symbols left of a text, with a heap as the agenda."""
@@ -180,28 +187,47 @@ class MergeVocabulary:
             return symbols
         return [x for s in symbols for x in ([s] if s < self.size else [self.bytes[b] for b in chr(s - self.size).encode()] if self.bytes else [self.lib.unk_id()])]
 
-    def _parts(self, text: str) -> list[str]:
-        if self._simple and MARK + MARK not in text:
-            return text.replace(MARK, "\0" + MARK).split("\0") if "\0" not in text else self.stretch.findall(text)
-        return self.stretch.findall(text)
+    def decimals(self, ids: bytes) -> bytes:
+        """Ids, as 32-bit numbers, in decimals with a blank between."""
+        return self._decimal[np.frombuffer(ids, "<i4")].tobytes().translate(None, b"\0")[:-1]
+
+    def _parts(self, texts: list[str]) -> pa.Array:
+        """The stretches of normalised texts, a list for each; some may be empty."""
+        apart = next(c for c in map(chr, chain(range(0xD800), range(0xE000, 0x110000))) if not any(c in t for t in texts))
+        cut = [t.replace(MARK, apart + MARK) if self._simple and MARK + MARK not in t else apart.join(self.stretch.findall(t)) for t in texts]
+        return pc.split_pattern(pa.array(cut, pa.large_string()), apart)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without an end id, as 32-bit numbers."""
+        if not texts:
+            return []
         if len(self.cache) > CACHED:
             self.cache, self._older = {"": b""}, self.cache
-        parts = [self._parts(self.lib.normalize(t)) for t in texts]
-        by_length, cache = defaultdict(list), self.cache
-        new = set().union(*parts).difference(cache)
-        if self._older:
-            cache.update((p, self._older[p]) for p in new & self._older.keys())
-            new -= cache.keys()
-        for p in new:
-            by_length[min(len(p), LONG)].append(p)
-        long = {p: array("i", self._ids(self._heap(p))).tobytes() for p in by_length.pop(LONG, ())}
+        parts = self._parts([self.lib.normalize(t) for t in texts])
+        met = parts.flatten().dictionary_encode()
+        names, at = met.dictionary.to_numpy(zero_copy_only=False).tolist(), met.indices.to_numpy()
+        cache, older, by_length, long = self.cache, self._older, defaultdict(list), {}
+        ids = list(map(cache.get, names))
+        new = [k for k, x in enumerate(ids) if x is None]
+        for k in new:
+            p = names[k]
+            if (x := older.get(p)) is not None:
+                cache[p] = x
+            else:
+                by_length[min(len(p), LONG)].append(p)
+        for p in by_length.pop(LONG, ()):
+            long[p] = array("i", self._ids(self._heap(p))).tobytes()
         for group in by_length.values():
             self._rows(group)
-        get = cache.__getitem__ if not long else lambda p: long[p] if len(p) >= LONG else cache[p]
-        return [b"".join(map(get, ps)) for ps in parts]
+        for k in new:
+            ids[k] = cache[p] if (p := names[k]) in cache else long[p]
+        # The ids of the distinct stretches lie in a row; each stretch met takes its own from there.
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start, size = (np.cumsum(size) - size)[at], size[at]
+        end = np.cumsum(size)
+        flat = np.frombuffer(b"".join(ids), np.int32)[np.repeat(start - end + size, size) + np.arange(end[-1])].tobytes()
+        ends = [0, *(4 * end[np.cumsum(pc.list_value_length(parts).to_numpy()) - 1]).tolist()]
+        return [flat[i:j] for i, j in pairwise(ends)]
 
 
 _vocabularies: dict[str, MergeVocabulary] = kept.setdefault("sentencepieces", {})
@@ -235,11 +261,10 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             for some in slices(batch, 1, BATCH, BATCH_BYTES):
                 texts = [t or "" for t in some.column(1).to_pylist()]
                 data = [x + end for x in v.encode(texts)]
-                theirs = v.lib.encode(texts, add_bos=False, add_eos=True, num_threads=1)
-                agrees = [array("i", x).tobytes() == own for x, own in zip(theirs, data, strict=True)]
-                ids = [x if same else array("i", own).tolist() for x, own, same in zip(theirs, data, agrees, strict=True)]
-                decoded = v.lib.decode(ids, num_threads=1)
-                digest = [hashlib.sha256("".join(map(v.decimal.__getitem__, x))[:-1].encode()).hexdigest() for x in ids]
+                theirs = v.lib.encode(texts, add_bos=False, add_eos=True, num_threads=1, return_type="numpy")
+                agrees = [x.tobytes() == own for x, own in zip(theirs, data, strict=True)]
+                decoded = v.lib.decode([np.frombuffer(x, np.int32) for x in data], num_threads=1)
+                digest = [hashlib.sha256(v.decimals(x)).hexdigest() for x in data]
                 columns = [[len(x) // 4 for x in data], digest, [hashlib.sha256(t.encode()).hexdigest() for t in decoded], agrees]
                 if with_ids:
                     flat = np.frombuffer(b"".join(data), np.int32)

@@ -565,6 +565,42 @@ def test_stretches_outlive_their_generation(monkeypatch):
         assert len(v.cache) <= 3 + 8
 
 
+def test_stretches_of_a_batch_are_looked_up_once(monkeypatch):
+    """However often a batch has a stretch, the cache is asked a few times; ids of one length go there together, not round by round."""
+
+    class Asked(dict):
+        times = 0
+
+        def get(self, key, default=None):
+            self.times += 1
+            return super().get(key, default)
+
+        def __getitem__(self, key):
+            self.times += 1
+            return super().__getitem__(key)
+
+    v = sentencepieces.MergeVocabulary(P.path("piece_bpe_32k.model"))
+    v.cache, put = Asked({"": b""}), []
+    monkeypatch.setattr(v, "_keep", lambda texts, symbols, f=v._keep: put.append(len(texts)) or f(texts, symbols))
+    texts = ["one word and one more " * 500, "", "word", "more\0 words\0\0 \u2581\u2581\u2581 x\u2581y \U0001f600", "\u65e5" * 100]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<i4").tolist() for x in v.encode(texts)] == v.lib.encode(texts, num_threads=1)
+    assert v.cache.times < 100
+    monkeypatch.setattr(v, "_parts", lambda texts: pytest.fail("no texts, no parts"))
+    assert v.encode([]) == []
+    v._rows(words := ["a", "é", "\u2581", "\U0001f600"])
+    assert all(w in v.cache for w in words)
+    put.clear()
+    v._rows(["internationally", "zzzzzzzzzzzzzzz", "the the the the"])
+    assert put == [3]
+
+
+def test_ids_in_decimals():
+    v = sentencepieces.vocabulary(P.path("piece_bpe_32k.model"))
+    for ids in ([], [0], [2], [v.size - 1, 0, 10, 999, 10000, 7]):
+        assert v.decimals(np.array(ids, "<i4").tobytes()) == " ".join(map(str, ids)).encode()
+
+
 def test_op9_takes_ids_of_any_type_and_marks_what_differs(spark, monkeypatch):
     path = P.path("piece_bpe_32k.model")
     df = spark.createDataFrame([("a1", "some text", 1), (None, None, 2), ("a1", "some text", 3)], "doc_id string, text string, ids int")
